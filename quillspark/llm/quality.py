@@ -1,0 +1,150 @@
+"""Figures of a text's shape and wording, and fixed-threshold rules on them.
+
+Everything is a built-in expression: the text is cut into lines, each line gets a kind and its number of words, and the
+figures are sums over lines and words. Rules of two sorts read the figures:
+
+  * ``REASONS``: the published thresholds for web text (number and mean length of words, symbols, bullets, ellipses,
+    words with letters, common words, repetition); each that fails is recorded under its name.
+  * ``kind``: what the text mainly is, by words: junk, list, table or prose.
+
+Defined results: null and blank texts have the figures of an empty text, the reason ``blank`` and no kind; texts of
+any length are read whole; each row is judged alone, so an empty table gives no rows and repeated rows repeat;
+other columns are ignored.
+
+Scale: a projection, without any shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: fixed values: common words of the seven languages
+COMMON = tuple(
+    dict.fromkeys(
+        """the be to of and a in that have it for not on with as you do at this but his by from they we her she or an will my one all would there their what so if about who get which
+        when is was were are had has been your our its into than then no nor after before beyond under between most nobody somebody every first
+        der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an er war nach bei seit ohne am über kurz vor trotz gegen wurde
+        le la les de des et en un une du que est pour qui dans sur au pas plus avec ce il sont a été par avant après dès sans malgré très près jusqu'à
+        el los las del y que un una por con para su se al lo como más pero sus fue este ha hasta cerca después durante sin
+        o os e da do dos das em um uma não com para por mais como mas foi ao ele sem até perto após
+        i w na z do się nie że jest to o po od za przy był było przed bez całą już
+        и в на не что с по он как к за из у от до для без уже был перед после всем""".split()
+    )
+)
+BULLET = r"^\s*(?:[-*+•–—▪◦‣·]\s+|\[[ xX]?\]\s*|\(?\d{1,3}[.):]\s+|\(?[a-zA-Z][.)]\s+)"
+SENTENCE_END = r"[.!?…。]['\"”’»)\]]*\s*$"
+#: thresholds of the published rules: (reason, failing condition on the figures)
+REASONS = (
+    ("too_few_words", lambda c: c("n_words") < 50),
+    ("too_many_words", lambda c: c("n_words") > 100_000),
+    ("mean_word_length", lambda c: (c("mean_word_length") < 3) | (c("mean_word_length") > 10)),
+    ("symbols", lambda c: c("symbol_ratio") > 0.1),
+    ("bullets", lambda c: c("bullet_lines") > 0.9),
+    ("ellipses", lambda c: c("ellipsis_lines") > 0.3),
+    ("words_without_letters", lambda c: c("alpha_words") < 0.8),
+    ("common_words", lambda c: c("n_common") < 2),
+    ("line_punctuation", lambda c: c("punctuated_lines") < 0.12),
+    ("repetition", lambda c: (c("n_words") >= 10) & (c("distinct_words") < 0.2)),
+)
+
+
+def _line(x: Column) -> Column:
+    """(k, n, p, e, w): kind of a line, its number of words, whether it ends a sentence, whether it ends in dots."""
+    s = F.trim(x)
+    n = F.size(F.split(s, r"\s+"))
+    ended = s.rlike(SENTENCE_END)
+    bare = F.regexp_replace(x, BULLET, "")
+    kind = (
+        F.when(s.rlike(r"^[0-9a-fA-F]{6,8}[ :]+(?:[0-9a-fA-F]{2,4}[ ]+){4}"), "junk")
+        .when(s.rlike(r"^\|.*\|$") | s.rlike(r"^[^\t]*\S\t+\S"), "table")
+        .when(s.rlike(r"^[^;]{0,60};[^;]{0,60};[^;]{0,60}") & ~ended & (n <= 30), "table")
+        .when(s.rlike(r"\S[.·_]{4,}\s*\S"), "table")
+        .when(x.rlike(BULLET), F.when((F.size(F.split(F.trim(bare), r"\s+")) <= 7) & ~bare.rlike(SENTENCE_END), "list").otherwise("prose"))
+        .when((F.size(F.split(s, r" {3,}|\s+\|\s+")) - 1 >= n / 6) & s.rlike(r"\S(?: {3,}|\s+\|\s+)\S") & ~ended, "table")
+        .when(s.rlike(r"^[^,]{1,40}, [^,]{1,40}(?:, [^,]{1,40}){2,},?$") & ~ended & (n <= F.size(F.split(s, ",")) * 4.5), "list")
+        .when(s.rlike(r"^[^,]{1,30},[^, ][^,]{0,30}(?:,[^,]{1,30})+$") & ~ended & (n <= F.size(F.split(s, ",")) * 3.5), "table")
+        .when(s.rlike(r"^[^,\s]{1,30},[^,\s]{1,30}$"), "table")
+        .when(s.rlike(r"^[^:.!?]{1,40}\s*[:=]\s*\S") & ~ended & (n <= 8), "table")
+        .when(s.rlike(r"^[^:.!?]{1,40}:\s*(?:[$€£₹]|Rs\.|[A-Z]{3} )?\s?[\d.,/-]+") & (n <= 8), "table")
+        .when(~ended & (n <= 4), "short")
+        .otherwise("prose")
+    )
+    return F.struct(kind.alias("k"), n.alias("n"), ended.alias("p"), s.rlike(r"(?:\.\.\.|…)$").alias("e"), x.rlike(BULLET).alias("b"))
+
+
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of figures for each row."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    base = (
+        df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        .withColumn("ws", F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))
+        .withColumn("ls", F.transform(F.filter(F.split(t, r"\r\n|\r|\n|\x0c"), lambda x: F.trim(x) != ""), _line))
+        .withColumn("tight", F.regexp_replace(t, r"\s+", ""))
+    )
+    letters = F.regexp_replace("tight", r"[^\p{L}]+", "")
+    size = lambda c: F.greatest(F.length(c), F.lit(1))
+    words = F.greatest(F.size("ws"), F.lit(1))
+    lines = F.greatest(F.size("ls"), F.lit(1))
+    by = lambda k: F.aggregate(F.filter("ls", lambda x: x["k"] == k), F.lit(0), lambda s, x: s + x["n"])
+    share = lambda f: F.size(F.filter("ls", f)) / lines
+    common = F.array(*[F.lit(w) for w in COMMON])
+    bare = F.transform("ws", lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return (
+        base.withColumn("letters", letters)
+        .withColumn("bare", bare)
+        .select(
+            "doc_id",
+            F.size("ws").cast("long").alias("n_words"),
+            F.size("ls").cast("long").alias("n_lines"),
+            F.length(t).cast("long").alias("n_chars"),
+            (F.length("tight") / words).alias("mean_word_length"),
+            (1 - F.length(F.regexp_replace("tight", r"[^\p{L}\p{N}]+", "")) / size("tight")).alias("symbol_ratio"),
+            (F.length("letters") / size("tight")).alias("letter_ratio"),
+            (F.length(F.regexp_replace("letters", r"(?iu)[^aeiouyàáâãäåèéêëìíîïòóôõöøùúûüýąęóёаеиоуыэюя]+", "")) / size("letters")).alias("vowel_ratio"),
+            share(lambda x: x["p"]).alias("punctuated_lines"),
+            share(lambda x: x["b"]).alias("bullet_lines"),
+            share(lambda x: x["e"]).alias("ellipsis_lines"),
+            (F.size(F.filter("bare", lambda w: w.rlike(r"\p{L}"))) / words).alias("alpha_words"),
+            (F.size(F.filter("bare", lambda w: w.rlike(r"^[\p{L}'’-]{3,}$"))) / words).alias("whole_words"),
+            (F.size(F.array_distinct("bare")) / words).alias("distinct_words"),
+            F.size(F.filter("bare", lambda w: F.array_contains(common, w))).cast("long").alias("n_common"),
+            (F.size(F.filter("bare", lambda w: F.array_contains(common, w))) / words).alias("common_words"),
+            (F.size(F.filter("bare", lambda w: F.length(w) > 30)) / words).alias("giant_words"),
+            by("list").alias("list_words"),
+            by("table").alias("table_words"),
+            by("short").alias("short_words"),
+            by("junk").alias("junk_words"),
+            F.size(F.filter("ls", lambda x: x["k"] == "short")).alias("short_lines"),
+            F.size(F.filter("ls", lambda x: x["k"] == "list")).alias("list_lines"),
+            (~(F.trim(F.regexp_replace(t, r"\s+", " ")) == "")).alias("filled"),
+        )
+    )
+
+
+def judge(figures: DataFrame) -> DataFrame:
+    """Adds ``reasons`` (the published rules that fail) and ``kind`` (null for blank texts)."""
+    c = F.col
+    reasons = F.array_compact(F.array(*[F.when(f(c), name) for name, f in REASONS]))
+    ordered = c("table_words") + c("list_words") >= 0.5 * c("n_words")
+    junk = (
+        (c("junk_words") >= 0.5 * c("n_words"))
+        | (c("symbol_ratio") > 0.45) & (c("whole_words") < 0.15)
+        | (c("giant_words") > 0.3) & ~ordered
+        | (c("mean_word_length") > 20) & ~ordered
+        | (c("letter_ratio") < 0.2) & ~ordered
+        | (c("symbol_ratio") > 0.45) & ~ordered
+        | (c("letter_ratio") > 0.5) & (c("vowel_ratio") < 0.2) & (c("n_words") >= 5)
+        | (c("n_words") >= 8) & (c("distinct_words") * c("n_words") <= F.when(ordered, 3.5).otherwise(8.5)) & (c("distinct_words") < 0.4)
+        | (c("n_words") >= 100) & (c("distinct_words") * c("n_words") <= 25.5) & ~ordered
+    )
+    shorts = (c("short_lines") >= 4) & (c("short_lines") + c("list_lines") >= 0.7 * c("n_lines"))
+    kind = (
+        F.when(~c("filled"), F.lit(None))
+        .when(junk, "junk")
+        .when(c("table_words") >= 0.5 * c("n_words"), "table")
+        .when(c("list_words") + F.when(shorts, c("short_words")).otherwise(0) >= 0.5 * c("n_words"), "list")
+        .when(c("table_words") + c("list_words") >= 0.6 * c("n_words"), F.when(c("table_words") >= c("list_words"), "table").otherwise("list"))
+        .otherwise("prose")
+    )
+    return figures.withColumn("reasons", F.when(c("filled"), reasons).otherwise(F.array(F.lit("blank")))).withColumn("kind", kind)
