@@ -97,10 +97,11 @@ class Engine:
         plans, rows, best, assets = self.channels(queries, extensions, folder, vectors)
         fused = search.fuse(search.rank_channels(rows), plans).join(plans.select("query_id", "visual_query", "document_query", F.size("terms").alias("n_terms")), "query_id")
         gated = search.strengths(fused).where("confidence is not null")
-        shown = assets.select("id", "filename", "extension", F.coalesce("content_id", "id").alias("content_id"))
-        typed = search.implied_filter(gated.join(shown.select(F.col("id").alias("asset_id"), "extension"), "asset_id"), plans, extensions is not None).drop("extension")
+        # channels' scores have the names of channels, so a file's own name needs another
+        shown = assets.select("id", F.col("filename").alias("file"), F.col("extension").alias("type"), F.coalesce("content_id", "id").alias("content_id"))
+        typed = search.implied_filter(gated.join(shown.select(F.col("id").alias("asset_id"), F.col("type").alias("extension")), "asset_id"), plans, extensions is not None).drop("extension")
         out = search.results(typed, shown, n).join(best.select("query_id", "asset_id", "chunk_id"), ["query_id", "asset_id"], "left")
-        return search.with_snippets(out, self.chunks(), queries).select("query_id", "position", "asset_id", "filename", "extension", "confidence", "reasons", "fused", "combined_score", "snippet", "page_number")
+        return search.with_snippets(out, self.chunks(), queries).select("query_id", "position", "asset_id", F.col("file").alias("filename"), F.col("type").alias("extension"), "confidence", "reasons", "fused", "combined_score", "snippet", "page_number")
 
     def search_debug(self, queries: DataFrame, **filters) -> dict[str, DataFrame]:
         plans, rows, best, _ = self.channels(queries, **filters)

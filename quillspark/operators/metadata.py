@@ -27,7 +27,9 @@ def phones(t: Column) -> Column:
 def amounts(t: Column) -> Column:
     """Structs (raw, value, currency) in order; neighbours with equal text count once."""
     raws = F.transform(all_matches(t, "amount"), lambda a: F.trim(a))
-    once = F.filter(raws, lambda a, i: (i == 0) | (a != F.get(raws, i - 1)))
+    # beside each its neighbour before; the list itself is evaluated twice, not once for each element
+    beside = F.zip_with(raws, F.concat(F.array(F.lit("")), raws), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    once = F.transform(F.filter(beside, lambda x: x["a"].isNotNull() & (x["a"] != x["b"])), lambda x: x["a"])
     one = lambda a: F.struct(a.alias("raw"), amount_value(F.regexp_extract(a, r"(\d[\d,]*(?:\.\d+)?)", 1)).alias("value"), currency(F.regexp_replace(a, r"[\d,\s]+(?:\.\d+)?", "")).alias("currency"))
     return F.slice(F.transform(once, one), 1, CAPS["amounts"])
 
@@ -94,10 +96,18 @@ def entities(df: DataFrame, key: str, text: str = "text", unicode: bool = True,
         typed(F.transform("amounts", lambda a: a["raw"]), "amount"),
     )
     keyed = F.filter(F.transform(lists, lambda e: F.struct(e["entity_type"].alias("entity_type"), F.trim(e["raw"]).alias("raw_value"), entity_key(e["raw"], strict).alias("normalized_value"))), lambda e: e["normalized_value"] != "")
-    names = F.transform(keyed, lambda e: F.concat_ws("\x00", e["entity_type"], e["normalized_value"]))
-    once = F.filter(keyed, lambda e, i: F.array_position(names, F.concat_ws("\x00", e["entity_type"], e["normalized_value"])) == i + 1)
+    names = F.transform("keyed", lambda e: F.concat_ws("\x00", e["entity_type"], e["normalized_value"]))
+    # columns of their own, as a list inside a function of elements would be evaluated for each element
+    once = F.filter(F.arrays_zip("keyed", "names"), lambda e, i: F.array_position("names", e["names"]) == i + 1)
     table = F.create_map(*[F.lit(x) for kv in ENTITY_CONFIDENCE.items() for x in kv])
-    return df.select(key, F.posexplode(F.slice(once, 1, CAPS["entities"])).alias("position", "e")).select(key, "position", "e.*").withColumn("confidence", F.element_at(table, F.col("entity_type")))
+    return (
+        df.select(key, keyed.alias("keyed"))
+        .where(F.size("keyed") > 0)
+        .withColumn("names", names)
+        .select(key, F.posexplode(F.slice(once, 1, CAPS["entities"])).alias("position", "e"))
+        .select(key, "position", "e.keyed.*")
+        .withColumn("confidence", F.element_at(table, F.col("entity_type")))
+    )
 
 
 def classify(df: DataFrame, text: str = "text", filename: str = "filename", categories: str | None = None, unicode: bool = True, require_digit: bool = False) -> DataFrame:

@@ -55,8 +55,8 @@ def bm25(toks: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     n_prefix = parts.join(hits, "term").groupBy("query_id", "unit").agg(F.count("*").alias("n"))
     n_phrase = units.where("unit = -1").groupBy("query_id", "unit").agg(F.count("*").alias("n"))
     n_units = n_prefix.unionByName(n_phrase)
-    whole = toks.agg(F.count("*").cast("double").alias("N"), F.avg("length").alias("avgdl"))
-    idf = F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    whole = toks.agg(F.count("*").cast("double").alias("n_docs"), F.avg("length").alias("avgdl"))
+    idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     score = F.when(idf > 0, idf).otherwise(1e-6) * F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("avgdl")))
     return (
         units.join(n_units, ["query_id", "unit"])
