@@ -12,8 +12,9 @@ from ..constants import PATTERNS
 
 
 def pattern(name: str, unicode: bool = True) -> str:
-    word = r"[\p{L}\p{N}_]" if unicode else "[0-9A-Za-z_]"
-    edge = rf"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+    if unicode:
+        return "(?U)" + PATTERNS[name].replace("«", r"\b").replace("»", r"\b")
+    edge = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
     return PATTERNS[name].replace("«", edge).replace("»", edge)
 
 

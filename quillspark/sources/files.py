@@ -9,7 +9,9 @@ from ..constants import EXCLUDED_DIRECTORIES, EXTENSIONS, MAX_BYTES, MIME_TYPES
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root`` (path, modificationTime, length, content); symbolic links and unreadable files as Spark's reader treats them."""
+    """All files below ``root`` (path, modificationTime, length, content); symbolic links and unreadable files as Spark's reader treats them.
+
+    The reader passes over files without bytes, so these come as missing rather than as skipped."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
 
 
