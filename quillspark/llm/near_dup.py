@@ -232,7 +232,11 @@ def compare(grouped: DataFrame, sets: DataFrame, threshold: float, buckets: int)
     def run(whole: pa.Table) -> pa.Table:
         gid, cls = whole.column("gid").to_numpy(), whole.column("cls").to_numpy()
         packed = whole.column("tokens").to_pylist()
-        order = np.argsort(gid, kind="stable")
+        order = np.lexsort((cls, gid))
+        if len(order):  # copies in several partitions give a class's set several times
+            new = np.ones(len(order), bool)
+            new[1:] = (gid[order[1:]] != gid[order[:-1]]) | (cls[order[1:]] != cls[order[:-1]])
+            order = order[new]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(gid[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, int)
         found = {}
         for a, b in zip(edges[:-1], edges[1:]):
@@ -264,7 +268,9 @@ def classes(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFr
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, min_words: int = 5, expand: int = 64, **how) -> DataFrame:
     """(id_a, id_b, similarity), the smaller id first."""
-    texts = df.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("cls"), F.col(text_col).alias("text"))
+    df = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_col, text_col = "id", "text"
+    texts = df.where("text is not null").select(F.xxhash64("text").alias("cls"), "text")
     pairs = similar_classes(texts, threshold, shingle, min_words, **how)
     # a class's members that are linked one by one; of a class above ``expand`` only the first
     members = classes(df, id_col, text_col)
