@@ -123,7 +123,10 @@ def _mul(x: np.ndarray, c: np.uint64) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, shingle: int, min_words: int, base: int, bands: int, rows: int, buckets: int) -> DataFrame:
-    """(bucket, keys, classes): packed arrays of equal length."""
+    """(bucket, keys, classes): packed arrays of equal length.
+
+    Inside a bucket 32 bits of a key are kept: two keys that agree in them only put unlike texts into one group, which
+    the exact comparison parts again."""
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary())])
 
     def run(batches):
@@ -140,7 +143,7 @@ def signatures(texts: DataFrame, shingle: int, min_words: int, base: int, bands:
             edges = np.concatenate([[0], cuts, [len(keys)]])
             cols = {
                 "bucket": [int(bucket[a]) for a in edges[:-1]],
-                "keys": [keys[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])],
+                "keys": [keys[a:b].astype(np.uint32).tobytes() for a, b in zip(edges[:-1], edges[1:])],
                 "classes": [own[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])],
             }
             return pa.RecordBatch.from_pydict(cols, schema=schema)
@@ -171,7 +174,7 @@ def groups(signed: DataFrame, block: int) -> DataFrame:
     """(gid, members): the distinct groups of two and more classes."""
 
     def run(whole: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in whole.column("keys").to_pylist()])
+        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in whole.column("keys").to_pylist()])
         own = np.concatenate([np.frombuffer(x, np.int64) for x in whole.column("classes").to_pylist()])
         order = np.lexsort((own, keys))
         keys, own = keys[order], own[order]
@@ -254,7 +257,7 @@ def compare(grouped: DataFrame, sets: DataFrame, threshold: float, buckets: int)
     )
 
 
-def similar_classes(texts: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 5, base: int = 96, bands: int = 64, rows: int = 4, block: int = 256, buckets: int | None = None) -> DataFrame:
+def similar_classes(texts: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 5, base: int = 120, bands: int = 84, rows: int = 4, block: int = 256, buckets: int | None = None) -> DataFrame:
     """(cls_a, cls_b, similarity) from ``texts`` (cls, text); see the module's text."""
     buckets = buckets or max(48, 8 * partitions_of(texts))
     found = groups(signatures(texts, shingle, min_words, base, bands, rows, buckets), block)
@@ -299,3 +302,22 @@ def without_known_copies(pairs: DataFrame, chunks: DataFrame, assets: DataFrame)
         .where("sha_a is null or sha_b is null or sha_a <> sha_b")
         .drop("sha_a", "sha_b")
     )
+
+
+def groups_of(pairs: DataFrame) -> DataFrame:
+    """(id, group_id, links): connected groups of pairs, named by their smallest id; ids without a pair have no row.
+
+    Labels spread along the pairs and jump along labels, so rounds grow with the logarithm of a chain's length. Each round
+    is written to the shared folder; rounds end when no label changes. A node with many pairs is a map-side minimum."""
+    from .common import cut
+
+    edges = cut(pairs.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(pairs.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"))).where("x <> y").distinct(), "pairs")
+    labels = cut(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label"), F.count("*").alias("links")), "labels")
+    while True:
+        near = edges.join(labels.select(F.col("x").alias("y"), F.col("label").alias("other")), "y").groupBy("x").agg(F.min("other").alias("near"))
+        spread = labels.join(near, "x").select("x", "links", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        jump = labels.select(F.col("x").alias("mid"), F.col("label").alias("far"))
+        new = cut(spread.join(jump, "mid").select("x", "links", "old", F.least("mid", "far").alias("label")), "labels")
+        if new.where("label <> old").isEmpty():
+            return new.select(F.col("x").alias("id"), F.col("label").alias("group_id"), "links")
+        labels = new.select("x", "label", "links")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoding, mixing, near_dup, neighbours, personal, quality, ranking, scans, splitting, tokens
-from .common import table
+from .common import computed_once, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.without_known_copies(pairs, chunks, table(spark, d, "assets")).select("id_a", "id_b")
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select("id", "asset_id", "text")
+    return near_dup.groups_of(near_dup.near_duplicate_pairs(chunks, threshold=0.5, shingle=3, min_words=20))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     return neighbours.as_pairs(neighbours.nearest(chunks, "id", "embedding", "embedding_profile_id", "embedding_dimensions", k=5, least=0.8))
@@ -86,7 +91,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    judged = quality.judge(quality.measure(table(spark, d, "documents"))).select("doc_id", "kind").where("kind <> 'prose'")
+    judged = computed_once(quality.judge(quality.measure(table(spark, d, "documents"))).select("doc_id", "kind")).where("kind <> 'prose'")
     return judged.join(table(spark, d, "doc_labels").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "kind")
 
 
@@ -94,7 +99,7 @@ def p10_figures(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(quality.measure(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p3_found, p4_found, p4_pieces, p5_found, p5_restored, p6_found, p6_redacted, p7_found, p7_repaired, p8_ids, p9_mixture, p9_shares, p10_found, p10_figures)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_groups, p3_found, p4_found, p4_pieces, p5_found, p5_restored, p6_found, p6_redacted, p7_found, p7_repaired, p8_ids, p9_mixture, p9_shares, p10_found, p10_figures)}
 
 _RANKS = """
 WITH once AS (

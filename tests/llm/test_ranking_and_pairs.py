@@ -106,6 +106,14 @@ def test_known_copies_are_left_out(spark):
     assert {r["id_b"] for r in near_dup.without_known_copies(pairs, chunks, assets).collect()} == {"c", "d"}
 
 
+def test_groups_of_pairs(spark):
+    chain = [(f"n{k:02}", f"n{k + 1:02}") for k in range(20)]
+    pairs = spark.createDataFrame([*chain, ("z2", "z1"), ("q", "q")], "id_a string, id_b string").withColumn("label", F.lit(1))
+    got = {r["id"]: (r["group_id"], r["links"]) for r in near_dup.groups_of(pairs).collect()}
+    assert got == {f"n{k:02}": ("n00", 2 if 0 < k < 20 else 1) for k in range(21)} | {"z1": ("z1", 1), "z2": ("z1", 1)}
+    assert near_dup.groups_of(pairs.where("false")).count() == 0
+
+
 V = "id string, e array<float>, space string, d int"
 
 
