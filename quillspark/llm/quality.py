@@ -32,6 +32,7 @@ COMMON = tuple(
         и в на не что с по он как к за из у от до для без уже был перед после всем""".split()
     )
 )
+VOWELS = "aeiouyàáâãäåèéêëìíîïòóôõöøùúûüýąęœæёаеиоуыэюя"
 BULLET = r"^\s*(?:[-*+•–—▪◦‣·]\s+|\[[ xX]?\]\s*|\(?\d{1,3}[.):]\s+|\(?[a-zA-Z][.)]\s+)"
 SENTENCE_END = r"[.!?…。]['\"”’»)\]]*\s*$"
 #: thresholds of the published rules: (reason, failing condition on the figures)
@@ -49,76 +50,82 @@ REASONS = (
 )
 
 
-def _line(x: Column) -> Column:
-    """(k, n, p, e, w): kind of a line, its number of words, whether it ends a sentence, whether it ends in dots."""
+def _facts(x: Column) -> Column:
+    """(s, n, p, b): a trimmed line, its number of words, whether it ends a sentence, whether it begins like an item. Every later test reads these once."""
     s = F.trim(x)
-    n = F.size(F.split(s, r"\s+"))
-    ended = s.rlike(SENTENCE_END)
-    bare = F.regexp_replace(x, BULLET, "")
+    return F.struct(s.alias("s"), F.size(F.split(s, r"\s+")).alias("n"), F.substring(s, -6, 6).rlike(SENTENCE_END).alias("p"), x.rlike(BULLET).alias("b"))
+
+
+def _kind(f: Column) -> Column:
+    """(k, n, p, e, b): kind of a line beside its facts. Cheap tests stand before patterns, long lines skip what only short ones can be."""
+    s, n, ended = f["s"], f["n"], f["p"]
+    few, length = n <= 40, F.length(s)
+    has = lambda c: F.contains(s, F.lit(c))
+    fields = lambda c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
+    bare = F.regexp_replace(s, BULLET, "")
     kind = (
-        F.when(s.rlike(r"^[0-9a-fA-F]{6,8}[ :]+(?:[0-9a-fA-F]{2,4}[ ]+){4}"), "junk")
-        .when(s.rlike(r"^\|.*\|$") | s.rlike(r"^[^\t]*\S\t+\S"), "table")
-        .when(s.rlike(r"^[^;]{0,60};[^;]{0,60};[^;]{0,60}") & ~ended & (n <= 30), "table")
-        .when(s.rlike(r"\S[.·_]{4,}\s*\S"), "table")
-        .when(x.rlike(BULLET), F.when((F.size(F.split(F.trim(bare), r"\s+")) <= 7) & ~bare.rlike(SENTENCE_END), "list").otherwise("prose"))
-        .when((F.size(F.split(s, r" {3,}|\s+\|\s+")) - 1 >= n / 6) & s.rlike(r"\S(?: {3,}|\s+\|\s+)\S") & ~ended, "table")
-        .when(s.rlike(r"^[^,]{1,40}, [^,]{1,40}(?:, [^,]{1,40}){2,},?$") & ~ended & (n <= F.size(F.split(s, ",")) * 4.5), "list")
-        .when(s.rlike(r"^[^,]{1,30},[^, ][^,]{0,30}(?:,[^,]{1,30})+$") & ~ended & (n <= F.size(F.split(s, ",")) * 3.5), "table")
-        .when(s.rlike(r"^[^,\s]{1,30},[^,\s]{1,30}$"), "table")
-        .when(s.rlike(r"^[^:.!?]{1,40}\s*[:=]\s*\S") & ~ended & (n <= 8), "table")
-        .when(s.rlike(r"^[^:.!?]{1,40}:\s*(?:[$€£₹]|Rs\.|[A-Z]{3} )?\s?[\d.,/-]+") & (n <= 8), "table")
+        F.when(f["b"], F.when((n <= 9) & ~ended & (F.size(F.split(F.trim(bare), r"\s+")) <= 7), "list").otherwise("prose"))
+        .when(has("\t") & s.rlike(r"\S\t+\S") | s.startswith("|") & s.endswith("|"), "table")
+        .when(has("....") & s.rlike(r"\S[.·_]{4,}\s*\S"), "table")
+        .when((has("   ") | has(" | ")) & ~ended & (F.size(F.split(s, r" {3,}|\s+\|\s+")) - 1 >= n / 6), "table")
+        .when(has(";") & ~ended & (n <= 30) & (fields(";") >= 2) & s.rlike(r"^[^;]{0,60};[^;]{0,60};[^;]{0,60}"), "table")
+        .when(has(", ") & ~ended & (fields(",") >= 3) & (n <= (fields(",") + 1) * 4.5) & s.rlike(r"^[^,]{1,40}, [^,]{1,40}(?:, [^,]{1,40}){2,},?$"), "list")
+        .when(few & has(",") & ~ended & (n <= (fields(",") + 1) * 3.5) & s.rlike(r"^[^,]{1,30},[^, ][^,]{0,30}(?:,[^,]{1,30})*$"), "table")
+        .when((n <= 8) & (has(":") | has("=")) & ~ended & s.rlike(r"^[^:.!?]{1,40}\s*[:=]\s*\S"), "table")
+        .when((n <= 8) & has(":") & s.rlike(r"^[^:.!?]{1,40}:\s*(?:[$€£₹]|Rs\.|[A-Z]{3} )?\s?[\d.,/-]+"), "table")
+        .when((length >= 20) & (n >= 5) & s.rlike(r"^[0-9a-fA-F]{6,8}[ :]+(?:[0-9a-fA-F]{2,4}[ ]+){4}"), "junk")
         .when(~ended & (n <= 4), "short")
         .otherwise("prose")
     )
-    return F.struct(kind.alias("k"), n.alias("n"), ended.alias("p"), s.rlike(r"(?:\.\.\.|…)$").alias("e"), x.rlike(BULLET).alias("b"))
+    return F.struct(kind.alias("k"), n.alias("n"), ended.alias("p"), (s.endswith("...") | s.endswith("…")).alias("e"), f["b"].alias("b"))
 
 
 def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of figures for each row."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    base = (
-        df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .withColumn("ws", F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))
-        .withColumn("ls", F.transform(F.filter(F.split(t, r"\r\n|\r|\n|\x0c"), lambda x: F.trim(x) != ""), _line))
-        .withColumn("tight", F.regexp_replace(t, r"\s+", ""))
-    )
-    letters = F.regexp_replace("tight", r"[^\p{L}]+", "")
-    size = lambda c: F.greatest(F.length(c), F.lit(1))
-    words = F.greatest(F.size("ws"), F.lit(1))
-    lines = F.greatest(F.size("ls"), F.lit(1))
-    by = lambda k: F.aggregate(F.filter("ls", lambda x: x["k"] == k), F.lit(0), lambda s, x: s + x["n"])
+    """One row of figures for each row. Each list is a column of its own, so it is made once however many figures read it."""
+    t = F.col("text")
+    words, lines = F.greatest(F.col("words"), F.lit(1)), F.greatest(F.size("ls"), F.lit(1))
+    tight_size, letters_size = F.greatest(F.length("tight"), F.lit(1)), F.greatest(F.length("letters"), F.lit(1))
+    by = lambda k: F.aggregate("ls", F.lit(0), lambda s, x: s + F.when(x["k"] == k, x["n"]).otherwise(0))
+    lines_of = lambda k: F.size(F.filter("ls", lambda x: x["k"] == k))
     share = lambda f: F.size(F.filter("ls", f)) / lines
-    common = F.array(*[F.lit(w) for w in COMMON])
-    bare = F.transform("ws", lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     return (
-        base.withColumn("letters", letters)
-        .withColumn("bare", bare)
+        df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        .select(
+            "doc_id",
+            "text",
+            F.regexp_count(t, F.lit(r"\S+")).alias("words"),
+            F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}]+(?:[^\s\p{L}\p{N}]+[\p{L}\p{N}]+)*"), F.lit(0)).alias("bare"),
+            F.transform(F.filter(F.split(t, r"\r\n|[\r\n\x0c]"), lambda x: F.trim(x) != ""), _facts).alias("facts"),
+            F.regexp_replace(t, r"\s+", "").alias("tight"),
+        )
+        .select("doc_id", "text", "words", "bare", "tight", F.transform("facts", _kind).alias("ls"), F.regexp_replace("tight", r"[^\p{L}]+", "").alias("letters"))
         .select(
             "doc_id",
-            F.size("ws").cast("long").alias("n_words"),
+            F.col("words").cast("long").alias("n_words"),
             F.size("ls").cast("long").alias("n_lines"),
             F.length(t).cast("long").alias("n_chars"),
             (F.length("tight") / words).alias("mean_word_length"),
-            (1 - F.length(F.regexp_replace("tight", r"[^\p{L}\p{N}]+", "")) / size("tight")).alias("symbol_ratio"),
-            (F.length("letters") / size("tight")).alias("letter_ratio"),
-            (F.length(F.regexp_replace("letters", r"(?iu)[^aeiouyàáâãäåèéêëìíîïòóôõöøùúûüýąęóёаеиоуыэюя]+", "")) / size("letters")).alias("vowel_ratio"),
+            (1 - F.length(F.regexp_replace("tight", r"[^\p{L}\p{N}]+", "")) / tight_size).alias("symbol_ratio"),
+            (F.length("letters") / tight_size).alias("letter_ratio"),
+            (1 - F.length(F.translate(F.lower("letters"), VOWELS, "")) / letters_size).alias("vowel_ratio"),
             share(lambda x: x["p"]).alias("punctuated_lines"),
             share(lambda x: x["b"]).alias("bullet_lines"),
             share(lambda x: x["e"]).alias("ellipsis_lines"),
             (F.size(F.filter("bare", lambda w: w.rlike(r"\p{L}"))) / words).alias("alpha_words"),
             (F.size(F.filter("bare", lambda w: w.rlike(r"^[\p{L}'’-]{3,}$"))) / words).alias("whole_words"),
-            (F.size(F.array_distinct("bare")) / words).alias("distinct_words"),
-            F.size(F.filter("bare", lambda w: F.array_contains(common, w))).cast("long").alias("n_common"),
-            (F.size(F.filter("bare", lambda w: F.array_contains(common, w))) / words).alias("common_words"),
-            (F.size(F.filter("bare", lambda w: F.length(w) > 30)) / words).alias("giant_words"),
+            F.size(F.array_distinct("bare")).cast("long").alias("n_distinct"),
+            F.size(F.filter("bare", lambda w: w.isin(*COMMON))).cast("long").alias("n_common"),
+            (F.regexp_count(t, F.lit(r"(?<!\S)\S{31,}")) / words).alias("giant_words"),
             by("list").alias("list_words"),
             by("table").alias("table_words"),
             by("short").alias("short_words"),
             by("junk").alias("junk_words"),
-            F.size(F.filter("ls", lambda x: x["k"] == "short")).alias("short_lines"),
-            F.size(F.filter("ls", lambda x: x["k"] == "list")).alias("list_lines"),
-            (~(F.trim(F.regexp_replace(t, r"\s+", " ")) == "")).alias("filled"),
+            lines_of("short").alias("short_lines"),
+            lines_of("list").alias("list_lines"),
+            (F.length("tight") > 0).alias("filled"),
         )
+        .withColumn("common_words", F.col("n_common") / F.greatest(F.col("n_words"), F.lit(1)))
+        .withColumn("distinct_words", F.col("n_distinct") / F.greatest(F.col("n_words"), F.lit(1)))
     )
 
 
@@ -135,8 +142,8 @@ def judge(figures: DataFrame) -> DataFrame:
         | (c("letter_ratio") < 0.2) & ~ordered
         | (c("symbol_ratio") > 0.45) & ~ordered
         | (c("letter_ratio") > 0.5) & (c("vowel_ratio") < 0.2) & (c("n_words") >= 5)
-        | (c("n_words") >= 8) & (c("distinct_words") * c("n_words") <= F.when(ordered, 3.5).otherwise(8.5)) & (c("distinct_words") < 0.4)
-        | (c("n_words") >= 100) & (c("distinct_words") * c("n_words") <= 25.5) & ~ordered
+        | (c("n_words") >= 8) & (c("n_distinct") <= F.when(ordered, 3).otherwise(8)) & (c("distinct_words") < 0.4)
+        | (c("n_words") >= 100) & (c("n_distinct") <= 25) & ~ordered
     )
     shorts = (c("short_lines") >= 4) & (c("short_lines") + c("list_lines") >= 0.7 * c("n_lines"))
     kind = (
