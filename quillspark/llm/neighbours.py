@@ -25,22 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import computed_once
+
 SEED = 5
 
 
-def usable(df: DataFrame, id_col: str, vector: str, space: str, dims: str) -> DataFrame:
-    """(id, space, cls, v): usable vectors scaled to unit length."""
-    v = F.transform(F.col("v0"), lambda x: x.cast("double"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+def declared(df: DataFrame, id_col: str, vector: str, space: str, dims: str) -> DataFrame:
+    """(id, space, cls, v0): vectors of a space with the declared length."""
     return (
         df.select(F.col(id_col).alias("id"), F.col(space).alias("space"), F.col(vector).alias("v0"), F.col(dims).alias("d"))
         .where("id is not null and space is not null and v0 is not null and size(v0) = d and d > 0")
-        .select("id", "space", F.xxhash64("space", "v0").alias("cls"), v.alias("v"))
-        .where(fine)
-        .withColumn("norm", norm)
-        .where("norm > 0")
-        .select("id", "space", "cls", F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
+        .select("id", "space", F.xxhash64("space", "v0").alias("cls"), "v0")
+    )
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    """(id, space, cls, v): vectors with a finite norm above 0, scaled to unit length. A null or infinite value or a NaN shows in the norm."""
+    norm = F.sqrt(F.aggregate("v0", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return (
+        computed_once(rows.select("id", "space", "cls", "v0", norm.alias("norm")))
+        .where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+        .select("id", "space", "cls", F.transform("v0", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
     )
 
 
@@ -126,15 +131,21 @@ class Lists:
         return ids[:, :want], s[:, :want]
 
 
-def fit(vectors: DataFrame, sample: int, list_size: int) -> dict[str, Lists]:
-    """One set of lists per space, from at most ``sample`` vectors of it, chosen by hash."""
-    sizes = {r["space"]: r["n"] for r in vectors.groupBy("space").agg(F.count("*").alias("n")).collect()}  # one row per space
+def fit(rows: DataFrame, vectors: DataFrame, sample: int, list_size: int) -> dict[str, Lists]:
+    """One set of lists per space, from about ``sample`` vectors of it, chosen by hash; fewer where there are more than eight spaces."""
+    sizes = {r["space"]: r["n"] for r in rows.groupBy("space").agg(F.count("*").alias("n")).collect()}  # one row per space
+    if not sizes:
+        return {}
+    most = sample if len(sizes) <= 8 else max(1000, 8 * sample // len(sizes))
+    million = 1_000_000
+    shares = F.create_map(*[F.lit(x) for space, n in sorted(sizes.items()) for x in (space, int(min(1.0, most / n) * million) + 1)])
+    got = vectors.where(F.pmod(F.xxhash64("cls", F.lit(SEED)), F.lit(million)) < F.element_at(shares, F.col("space"))).select("space", "v").toArrow()
+    names, v = np.array(got.column("space").to_pylist(), object), got.column("v").combine_chunks()
     model = {}
     for space, n in sorted(sizes.items()):
-        rows = vectors.where((F.col("space") == space) & (F.pmod(F.xxhash64("cls", F.lit(SEED)), F.lit(1_000_000)) < int(min(1.0, 1.1 * sample / n) * 1_000_000) + 1))
-        got = rows.select("v").limit(sample).toArrow().column("v").combine_chunks()
-        if len(got):
-            x = got.flatten().to_numpy().reshape(len(got), -1).astype(np.float32)
+        own = np.flatnonzero(names == space)
+        if len(own):
+            x = v.take(pa.array(own)).flatten().to_numpy().reshape(len(own), -1).astype(np.float32)
             model[space] = Lists(x, n, list_size)
     return model
 
@@ -142,8 +153,9 @@ def fit(vectors: DataFrame, sample: int, list_size: int) -> dict[str, Lists]:
 def nearest(df: DataFrame, id_col: str, vector: str, space: str, dims: str, k: int = 5, least: float = 0.8, sample: int = 40_000, list_size: int = 256, replicas: int = 4, probes: int = 6, spread: float = 0.2, reach: float = 0.3) -> DataFrame:
     """(id, other, similarity): for each usable vector the ``k`` most similar others with a similarity of ``least`` or more."""
     spark = df.sparkSession
-    vectors = usable(df, id_col, vector, space, dims)
-    model = spark.sparkContext.broadcast(fit(vectors, sample, list_size))
+    rows = declared(df, id_col, vector, space, dims)
+    vectors = usable(rows)
+    model = spark.sparkContext.broadcast(fit(rows, vectors, sample, list_size))
     schema = pa.schema([("space", pa.string()), ("list", pa.int32()), ("block", pa.int32()), ("cls", pa.int64()), ("role", pa.int8()), ("v", pa.binary())])
 
     def assign(batches):
