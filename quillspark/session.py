@@ -19,3 +19,21 @@ def local_session(cores: int = 4, name: str = "quillspark", memory: str = "4g")
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so that Python functions find it wherever they run."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    here = Path(__file__).resolve().parent
+    if getattr(context, "_quillspark_shipped", False) or not here.is_dir():
+        return
+    at = Path(tempfile.mkdtemp(prefix="quillspark-")) / "quillspark.zip"  # the driver's own file; Spark serves it to the executors
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, Path("quillspark") / p.relative_to(here))
+    context.addPyFile(str(at))
+    context._quillspark_shipped = True
