@@ -60,7 +60,7 @@ class Engine:
 
     def channels(self, queries: DataFrame, extensions: list[str] | None = None, folder: str | None = None, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """Plans, channels, best chunks and the assets that may be shown. ``vectors``: (query_id, q), the queries' vectors in the active profile."""
-        plans = intent.plan(queries)
+        plans = intent.plan(queries).persist()  # read by every channel; as small as the batch of queries
         assets = library.matches(self.assets(), extensions, folder)
         chunks = self.chunks()
         toks = postings.tokenised(chunks.select(F.col("id").alias("chunk_id"), "text"), "chunk_id")

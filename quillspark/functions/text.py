@@ -27,12 +27,14 @@ _FROM, _TO = _folds()
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics."""
-    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), _FROM, _TO)
+    low = F.lower(text)
+    # most texts are plain, and the letter by letter translation is the dear part
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(F.regexp_replace(low, r"\p{Mn}+", ""), _FROM, _TO)).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
     """Runs of letters, digits and private-use characters, folded."""
-    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
+    return F.array_remove(F.split(fold(text), r"[^\p{L}\p{N}\p{Co}]+"), "")
 
 
 def content_terms(query: Column) -> Column:

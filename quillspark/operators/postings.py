@@ -22,9 +22,11 @@ def postings(toks: DataFrame, key: str) -> DataFrame:
 
 
 def document_frequency(toks: DataFrame) -> DataFrame:
-    """(token, df, cf): documents and occurrences per token; each document counts once without a distinct."""
-    once = toks.select(F.explode(F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.size(F.filter(F.col("tokens"), lambda x: x == t)).alias("n")))).alias("x"))
-    return once.groupBy(F.col("x.token").alias("token")).agg(F.count("*").alias("df"), F.sum("x.n").cast("long").alias("cf"))
+    """(token, df, cf): documents and occurrences per token, from one pass and one map-side sum."""
+    every = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(0).alias("first")))
+    once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(1).alias("first")))
+    rows = toks.select(F.explode(F.concat(every, once)).alias("x")).select("x.token", "x.first")
+    return rows.groupBy("token").agg(F.sum("first").cast("long").alias("df"), F.sum(1 - F.col("first")).cast("long").alias("cf"))
 
 
 def bm25(toks: DataFrame, key: str, queries: DataFrame) -> DataFrame:
@@ -41,8 +43,8 @@ def bm25(toks: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     expanded = (
         parts.select("term", F.substring("term", 1, 1).alias("head")).distinct().join(heads, "head").where(F.expr("startswith(token, term)")).select("term", "token")
     )
-    per_token = postings(toks, key)
-    hits = per_token.join(expanded, "token").groupBy("term", key).agg(F.sum("tf").alias("f"))
+    # tokens meet the few expanded ones before anything is grouped, so postings of other tokens are never shuffled
+    hits = toks.select(key, F.explode("tokens").alias("token")).join(expanded, "token").groupBy("term", key).agg(F.count("*").alias("f"))
     matched = parts.join(hits, "term").select("query_id", "n_terms", "unit", key, "f")
     both = matched.groupBy("query_id", key).agg(F.count("*").alias("k"), F.first("n_terms").alias("n_terms"), F.collect_list(F.struct("unit", "f")).alias("fs")).where("k = n_terms")
     with_tokens = both.join(toks, key).join(terms.select("query_id", "terms"), "query_id")
