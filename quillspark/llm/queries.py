@@ -124,4 +124,12 @@ ORACLE = {
     "p1_found": _RANKS.format(where="WHERE query_id NOT IN (SELECT query_id FROM relevance_labels)")
     + "SELECT query_id, asset_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, asset_id) AS n FROM fused) WHERE n <= 5",
     "p1_fused": _RANKS.format(where="") + "SELECT query_id, asset_id, fused FROM fused",
+    "p2_found": r"""
+WITH w AS (SELECT id, asset_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT id, asset_id, text FROM chunks) WHERE text IS NOT NULL),
+s AS (SELECT id, asset_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
+u AS (SELECT id, unnest(g) AS g FROM s),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+h AS (SELECT id AS asset_id, max(lower(sha256)) AS sha FROM assets WHERE sha256 IS NOT NULL GROUP BY 1)
+SELECT id_a, id_b FROM p JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b LEFT JOIN h hx ON hx.asset_id = x.asset_id LEFT JOIN h hy ON hy.asset_id = y.asset_id
+WHERE 2 * n >= len(x.g) + len(y.g) - n AND (hx.sha IS NULL OR hy.sha IS NULL OR hx.sha <> hy.sha)""",
 }
