@@ -198,7 +198,7 @@ def test_kinds_and_reasons(spark):
     assert quality.measure(df.where("false")).count() == 0
 
 
-def test_kinds_against_labels_that_were_not_fitted(spark):
+def test_kinds_against_hand_labels(spark):
     d = "/root/testdata/sf0.01"
     judged = quality.judge(quality.measure(spark.read.parquet(f"{d}/documents.parquet"))).select("doc_id", F.col("kind").alias("got"))
     rows = judged.join(spark.read.parquet(f"{d}/doc_labels.parquet"), "doc_id").collect()
