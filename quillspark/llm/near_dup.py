@@ -20,8 +20,9 @@ batch and bucket; copies are dropped inside a partition before that. Groups abov
 by block, each pair of blocks a row of its own, so that no task holds a whole hot group.
 
 Defined results: null texts and texts of fewer than ``min_words`` words have no partners; repeated rows count once;
-copies of one text are pairs of similarity 1 (a class of more than ``expand`` members is given as links from
-each of them to the smallest id, and only that id is linked to the class's neighbours; ``classes`` has the membership);
+copies of one text are pairs of similarity 1, however many they are (only where a caller sets ``expand``, a class of
+more members is given as links from each of them to the smallest id, and only that id is linked to the class's
+neighbours; ``classes`` has the membership; no rule about members, such as ``without_known_copies``, may follow then);
 an empty table gives no pairs; other columns are ignored.
 """
 
@@ -269,25 +270,26 @@ def classes(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFr
     return df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("cls"), F.col(id_col).alias("id")).distinct()
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, min_words: int = 5, expand: int = 64, **how) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, min_words: int = 5, expand: int | None = None, **how) -> DataFrame:
     """(id_a, id_b, similarity), the smaller id first."""
     df = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_col, text_col = "id", "text"
     texts = df.where("text is not null").select(F.xxhash64("text").alias("cls"), "text")
     pairs = similar_classes(texts, threshold, shingle, min_words, **how)
-    # a class's members that are linked one by one; of a class above ``expand`` only the first
+    # a class's members that are linked one by one: all; of a class above ``expand``, if that is set, only the first
     members = classes(df, id_col, text_col)
     sizes = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    shown = members.join(sizes, "cls").where((F.col("n") <= expand) | (F.col("id") == F.col("first"))).select("cls", "id")
+    few = F.lit(True) if expand is None else F.col("n") <= expand
+    shown = members if expand is None else members.join(sizes, "cls").where(few | (F.col("id") == F.col("first"))).select("cls", "id")
     a, b = (shown.select(F.col("cls").alias(f"cls_{x}"), F.col("id").alias(x)) for x in "xy")
     between = pairs.join(a, F.col("cls_a") == F.col("cls_x")).join(b, F.col("cls_b") == F.col("cls_y")).select("x", "y", "similarity")
     long_enough = F.size(F.regexp_extract_all(text_col, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))) >= max(min_words, shingle)
     repeated = sizes.where("n > 1")
     able = df.join(repeated.select("cls"), F.xxhash64(text_col) == F.col("cls"), "left_semi").where(long_enough).select(F.xxhash64(text_col).alias("cls")).distinct()
     copied = members.join(repeated, "cls").join(able, "cls", "left_semi")
-    small = copied.where(F.col("n") <= expand)
+    small = copied.where(few)
     inside = small.select("cls", F.col("id").alias("x")).join(small.select("cls", F.col("id").alias("y")), "cls").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
-    star = copied.where((F.col("n") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
+    star = copied.where(~few & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
     return between.unionByName(inside).unionByName(star).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity").distinct()
 
 

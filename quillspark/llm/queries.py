@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("id", "asset_id", "text")
-    return near_dup.groups_of(near_dup.near_duplicate_pairs(chunks, threshold=0.5, shingle=3, min_words=20))
+    return near_dup.groups_of(near_dup.near_duplicate_pairs(chunks, threshold=0.5, shingle=3, min_words=20, expand=64))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

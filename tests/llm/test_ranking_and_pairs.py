@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import near_dup, neighbours, ranking
+from quillspark.llm import near_dup, neighbours, queries, ranking
 
 S = "query_id long, asset_id string, semantic_score double, keyword_score double, combined_score double, visual_score double, category_score double"
 
@@ -106,6 +106,18 @@ def test_known_copies_are_left_out(spark):
     assert {r["id_b"] for r in near_dup.without_known_copies(pairs, chunks, assets).collect()} == {"c", "d"}
 
 
+def test_copies_of_a_large_class_keep_all_pairs_but_known_copies(spark, tmp_path):
+    """Copies in files of other digests stay linked to each other and to neighbours, whatever becomes of the smallest id."""
+    text = " ".join(f"w{k}" for k in range(30))
+    chunks = [(f"i{k:03}", f"a{k % 7}" if k % 10 else None, text) for k in range(70)] + [("n", "a0", text + " more")]
+    assets = [(f"a{k}", None if k == 6 else "FF" if k % 2 else "ff" if k == 2 else f"d{k}") for k in range(7)]
+    spark.createDataFrame(chunks, "id string, asset_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame(assets, "id string, sha256 string").write.parquet(f"{tmp_path}/assets.parquet")
+    sha = {a: s and s.lower() for a, s in assets} | {None: None}
+    want = {(x[0], y[0]) for x, y in itertools.combinations(sorted(chunks), 2) if sha[x[1]] is None or sha[x[1]] != sha[y[1]]}
+    assert {(r["id_a"], r["id_b"]) for r in queries.p2_found(spark, str(tmp_path)).collect()} == want
+
+
 def test_groups_of_pairs(spark):
     chain = [(f"n{k:02}", f"n{k + 1:02}") for k in range(20)]
     pairs = spark.createDataFrame([*chain, ("z2", "z1"), ("q", "q")], "id_a string, id_b string").withColumn("label", F.lit(1))
