@@ -1,23 +1,23 @@
-"""Near-duplicate texts by a token-group matrix.
+"""Near-duplicate texts by groups of prefix tokens.
 
 Tokens are the distinct runs of ``shingle`` words of a text; two texts are near-duplicates if the Jaccard similarity
 of their token sets is at least ``threshold``.
 
   1. Exact copies are one class, named by a 64-bit hash of the text; everything below works on classes.
-  2. Partition: every class gets ``bands`` keys, each made of ``rows`` of its ``base`` min-hashes. Classes with a common
-     key form a group, so similar texts share groups and unlike texts hardly ever do. Groups with the same members are
-     one group, however many keys produced it.
-  3. Matrix: for each group the union of its members' tokens is stored with the number of members that have each token.
-  4. Bound: a member's overlap with any other member is at most the number of its tokens that the union has from
-     somebody else. Members whose bound lies below the overlap that the threshold requires are never opened.
-  5. Open: the members that remain in a group are compared exactly, on their whole token sets.
+  2. Order: tokens are ordered by their counts in a quarter of the classes (a table of 2**20 cells), then by hash. Any
+     order that is the same for all texts gives the same pairs; rare tokens first give few candidates.
+  3. Partition: two sets of the required overlap share a token of both their prefixes, which are the first
+     n - ceil(threshold * n) + 1 of n tokens. Every class joins the group of each token of its prefix.
+  4. Bound: in a token's group, two members whose first common token this is have an overlap of at most 1 + the smaller
+     number of tokens behind it; and whatever they share, at most half of what their sizes exceed the distance of their
+     parity bitmaps (two bits and more for each token) by. Pairs below the overlap that the threshold requires are never opened.
+  5. Open: the pairs that remain are compared exactly, on their whole token sets.
 
-The similarity test is exact. A pair of similarity s shares a group with probability about 1 - (1 - s**rows)**bands;
-measured recall stands in the README.
+No step loses a pair: at the first common token both bounds hold for every pair at or above the threshold.
 
-Scale: the only stage that touches all tokens is a map over the texts. Keys travel as packed arrays, one row for each
-batch and bucket; copies are dropped inside a partition before that. Groups above ``block`` members are compared block
-by block, each pair of blocks a row of its own, so that no task holds a whole hot group.
+Scale: the stages that touch all tokens are maps over the texts. Prefixes travel as packed arrays, one row for each
+batch and bucket, a class's bitmap once in each; copies are dropped inside a partition before that. Work grows with the
+pairs of a group, so with the square of the frequency of tokens that stand in prefixes although they are frequent.
 
 Defined results: null texts and texts of fewer than ``min_words`` words have no partners; repeated rows count once;
 copies of one text are pairs of similarity 1, however many they are (only where a caller sets ``expand``, a class of
@@ -108,89 +108,169 @@ def _slices(batches, tokens: Tokens):
                 yield np.array([part[k][0] for k in kept], np.int64), starts, hashes
 
 
-def band_keys(starts: np.ndarray, hashes: np.ndarray, base: int, bands: int, rows: int) -> np.ndarray:
-    """(texts, bands) keys."""
-    x = hashes.astype(np.uint64)
-    low = np.stack([np.minimum.reduceat(_mul(x, c), starts[:-1]) for c in _constants(base, 11)], axis=1)
-    pick = np.stack([np.random.Generator(np.random.PCG64(100 + b)).choice(base, rows, replace=False) for b in range(bands)])
-    key = np.zeros((len(low), bands), np.uint64)
-    for j, c in enumerate(_constants(rows, 13)):
-        key += _mix(low[:, pick[:, j]].astype(np.uint64) * c)
-    return _mix(key + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+CELLS, RANGES = 20, 16  # 2**CELLS counters in RANGES rows
+FAR = 65535  # so many tokens behind, or more
 
 
-def _mul(x: np.ndarray, c: np.uint64) -> np.ndarray:
-    return ((x * c) >> np.uint64(32)).astype(np.uint32)
-
-
-def signatures(texts: DataFrame, shingle: int, min_words: int, base: int, bands: int, rows: int, buckets: int) -> DataFrame:
-    """(bucket, keys, classes): packed arrays of equal length.
-
-    Inside a bucket 32 bits of a key are kept: two keys that agree in them only put unlike texts into one group, which
-    the exact comparison parts again."""
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary())])
+def token_counts(texts: DataFrame, shingle: int, min_words: int) -> np.ndarray:
+    """Counts of tokens by the first bits of their hashes, over a quarter of the classes; a table of fixed size."""
+    width = (1 << CELLS) // RANGES
 
     def run(batches):
-        tokens = Tokens(shingle, min_words)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush():
-            keys, own = np.concatenate([k for k, _ in held]).ravel(), np.repeat(np.concatenate([i for _, i in held]), bands)
-            held.clear()
-            bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            keys, own, bucket = keys[order], own[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            edges = np.concatenate([[0], cuts, [len(keys)]])
-            cols = {
-                "bucket": [int(bucket[a]) for a in edges[:-1]],
-                "keys": [keys[a:b].astype(np.uint32).tobytes() for a, b in zip(edges[:-1], edges[1:])],
-                "classes": [own[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])],
-            }
-            return pa.RecordBatch.from_pydict(cols, schema=schema)
-
-        for ids, starts, hashes in _slices(batches, tokens):
-            held.append((band_keys(starts, hashes, base, bands, rows), ids))
-            if sum(len(i) for _, i in held) >= 8 * SLICE:
-                yield flush()
-        if held:
-            yield flush()
+        counts = np.zeros(1 << CELLS, np.uint32)
+        for _, _, hashes in _slices(batches, Tokens(shingle, min_words)):
+            counts += np.bincount(hashes >> np.uint32(32 - CELLS), minlength=1 << CELLS).astype(np.uint32)
+        if counts.any():
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(RANGES), pa.int32()), "counts": [counts[k * width : (k + 1) * width].tobytes() for k in range(RANGES)]})
+
+    def add(whole: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.uint32)
+        for x in whole.column("counts").to_pylist():
+            total += np.frombuffer(x, np.uint32)
+        return pa.table({"part": whole.column("part")[:1], "counts": [total.tobytes()]})
+
+    out = np.zeros((RANGES, width), np.uint32)
+    some = texts.select("cls", "text").where(F.pmod("cls", F.lit(4)) == 0)
+    for r in some.mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # RANGES rows
+        out[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.ravel()
+
+
+def prefixes(starts: np.ndarray, hashes: np.ndarray, counts: np.ndarray, threshold: float):
+    """Of the texts' prefixes the tokens, their texts (indexes) and how many tokens of the text come behind each."""
+    sizes = np.diff(starts)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((hashes, counts[hashes >> np.uint32(32 - CELLS)], own))
+    behind = np.repeat(starts[1:], sizes) - np.arange(len(hashes)) - 1
+    inside = behind >= np.repeat(np.ceil(threshold * sizes - 1e-9).astype(np.int64), sizes) - 1
+    return hashes[order][inside], own[inside], behind[inside]
+
+
+def bitmap_words(sizes: np.ndarray) -> np.ndarray:
+    """Words of 64 bits of a parity bitmap: a power of two, 8 and more, with at least two bits for each token."""
+    return np.int64(1) << np.maximum(3, np.ceil(np.log2(np.maximum(sizes, 1) / 32)).astype(np.int64))
+
+
+def parities(starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's bitmap starts (one more than texts), and the bitmaps.
+
+    A bit is set if an odd number of the text's tokens has it, so two bitmaps differ in no more bits than the sets in
+    tokens. The halves of a bitmap, put together by xor, are the bitmap of half the length."""
+    words = bitmap_words(np.diff(starts))
+    at = np.concatenate([[0], np.cumsum(words)])
+    sizes = np.diff(starts)
+    bit = ((hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & np.repeat(words * 64 - 1, sizes)
+    odd = np.bincount(np.repeat(at[:-1] * 64, sizes) + bit, minlength=int(at[-1]) * 64) & 1
+    return at, np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def apart(x: np.ndarray, y: np.ndarray, words: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """In how many bits the bitmaps of texts x and y differ, in the length of the shorter one."""
+    out, least = np.zeros(len(x), np.int64), np.minimum(words[x], words[y])
+    for w, (row, bits) in levels.items():
+        k = np.flatnonzero(least == w)
+        out[k] = np.bitwise_count(bits[row[x[k]]] ^ bits[row[y[k]]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def bitmap_levels(words: np.ndarray, bits: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length its bitmaps, longer ones folded to it, and the row of each text in them."""
+    at = np.cumsum(words) - words
+    out = {}
+    for w in np.unique(words):
+        row, parts, n = np.full(len(words), -1, np.int64), [], 0
+        for longer in np.unique(words[words >= w]):
+            k = np.flatnonzero(words == longer)
+            parts.append(np.bitwise_xor.reduce(bits[at[k][:, None] + np.arange(longer)].reshape(len(k), -1, w), axis=1))
+            row[k] = n + np.arange(len(k))
+            n += len(k)
+        out[int(w)] = row, np.concatenate(parts)
+    return out
+
+
+def signatures(texts: DataFrame, shingle: int, min_words: int, threshold: float, counts: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, tokens, which, behind, classes, sizes, bits): packed arrays; ``which`` points into the row's classes."""
+    names = ("tokens", "which", "behind", "classes", "sizes", "bits")
+    schema = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in names]])
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
 
-    return texts.select("cls", "text").mapInArrow(run, "bucket int, keys binary, classes binary")
-
-
-def _group_rows(members: np.ndarray, block: int):
-    """A group's rows: itself, or every pair of its blocks."""
-    if len(members) <= block:
-        yield members
-        return
-    half = block // 2
-    parts = [members[k : k + half] for k in range(0, len(members), half)]
-    for a in range(len(parts)):
-        for b in range(a + 1, len(parts)):
-            yield np.concatenate([parts[a], parts[b]])
-
-
-def groups(signed: DataFrame, block: int) -> DataFrame:
-    """(gid, members): the distinct groups of two and more classes."""
+    def run(batches):
+        for ids, starts, hashes in _merged(_slices(batches, Tokens(shingle, min_words))):
+            tok, own, behind = prefixes(starts, hashes, shared.value, threshold)
+            sizes, (begin, bits) = np.diff(starts).astype(np.uint32), parities(starts, hashes)
+            bucket = (_mix(tok.astype(np.uint64)) >> np.uint64(40)) % np.uint64(buckets)
+            order = np.lexsort((tok, bucket))
+            tok, own, behind, bucket = tok[order], own[order], np.minimum(behind[order], FAR), bucket[order]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(tok)]])
+            cols: dict[str, list] = {n: [] for n in ("bucket", *names)}
+            for a, b in zip(edges[:-1], edges[1:]):
+                there, which = np.unique(own[a:b], return_inverse=True)
+                row = (tok[a:b], which.astype(np.uint16), behind[a:b].astype(np.uint16), ids[there], sizes[there], np.concatenate([bits[begin[k] : begin[k + 1]] for k in there]))
+                cols["bucket"].append(int(bucket[a]))
+                for n, x in zip(names, row):
+                    cols[n].append(x.tobytes())
+            yield pa.RecordBatch.from_pydict(cols, schema=schema)
+
+    return texts.select("cls", "text").mapInArrow(run, "bucket int, " + ", ".join(f"{n} binary" for n in names))
+
+
+def _merged(slices, most: int = 8 * SLICE):
+    """Slices put together until they have ``most`` texts."""
+    held: list[tuple] = []
+
+    def together():
+        ids, starts, hashes = zip(*held)
+        sizes = np.concatenate([np.diff(x) for x in starts])
+        held.clear()
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(hashes)
+
+    for one in slices:
+        held.append(one)
+        if sum(len(x[0]) for x in held) >= most:
+            yield together()
+    if held:
+        yield together()
+
+
+def candidates(signed: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(gid, members): the pairs of classes that neither bound rules out. Pairs found are made distinct every ``block`` * 2**14."""
+    share = threshold / (1 + threshold)
 
     def run(whole: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in whole.column("keys").to_pylist()])
-        own = np.concatenate([np.frombuffer(x, np.int64) for x in whole.column("classes").to_pylist()])
-        order = np.lexsort((own, keys))
-        keys, own = keys[order], own[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
-        keys, own = keys[new], own[new]
-        edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        sizes = np.diff(edges)
-        seen: dict[bytes, None] = {}
-        for k in np.flatnonzero(sizes > 1):
-            for m in _group_rows(own[edges[k] : edges[k + 1]], block):
-                seen[m.tobytes()] = None
-        return pa.table({"members": pa.array([np.frombuffer(x, np.int64) for x in seen], pa.list_(pa.int64()))})
-
-    return signed.groupBy("bucket").applyInArrow(run, "members array<long>").select(F.xxhash64("members").alias("gid"), "members").dropDuplicates(["gid"])
+        read = lambda n, kind: [np.frombuffer(x, kind) for x in whole.column(n).to_pylist()]
+        classes, tok = read("classes", np.int64), np.concatenate(read("tokens", np.uint32))
+        base = np.cumsum([0, *[len(x) for x in classes[:-1]]])
+        own = np.concatenate([w.astype(np.int64) + b for w, b in zip(read("which", np.uint16), base)])
+        behind = np.concatenate(read("behind", np.uint16)).astype(np.int64)
+        behind[behind == FAR] = 1 << 40
+        cls, sizes = np.concatenate(classes), np.concatenate(read("sizes", np.uint32)).astype(np.int64)
+        words = bitmap_words(sizes)
+        levels = bitmap_levels(words, np.concatenate(read("bits", np.uint64)))
+        order = np.argsort(tok, kind="stable")
+        tok, own, behind = tok[order], own[order], behind[order]
+        size = sizes[own]
+        at, d, held, kept = np.arange(len(tok)), 0, [], 0
+        while True:
+            d += 1
+            at = at[: np.searchsorted(at, len(tok) - d)]
+            at = at[tok[at] == tok[at + d]]
+            if not len(at):
+                break
+            x, y = at, at + d
+            need = share * (size[x] + size[y]) - 1e-9
+            fits = (1 + np.minimum(behind[x], behind[y]) >= need) & (np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-9)
+            x, y, need = own[x[fits]], own[y[fits]], need[fits]
+            fits = ((sizes[x] + sizes[y] - apart(x, y, words, levels)) / 2 >= need) & (cls[x] != cls[y])
+            a, b = cls[x[fits]], cls[y[fits]]
+            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            kept += len(a)
+            if kept > block << 14:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                kept = 0
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *held]), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return signed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct().select(F.xxhash64("a", "b").alias("gid"), F.array("a", "b").alias("members"))
 
 
 def token_sets(texts: DataFrame, shingle: int, min_words: int) -> DataFrame:
@@ -258,11 +338,11 @@ def compare(grouped: DataFrame, sets: DataFrame, threshold: float, buckets: int)
     )
 
 
-def similar_classes(texts: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 5, base: int = 120, bands: int = 84, rows: int = 4, block: int = 256, buckets: int | None = None) -> DataFrame:
+def similar_classes(texts: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 5, block: int = 256, buckets: int | None = None) -> DataFrame:
     """(cls_a, cls_b, similarity) from ``texts`` (cls, text); see the module's text."""
-    buckets = buckets or max(48, 8 * partitions_of(texts))
-    found = groups(signatures(texts, shingle, min_words, base, bands, rows, buckets), block)
-    return compare(found, token_sets(texts, shingle, min_words), threshold, buckets)
+    parts = partitions_of(texts)
+    signed = signatures(texts, shingle, min_words, threshold, token_counts(texts, shingle, min_words), buckets or max(12, parts // 8))
+    return compare(candidates(signed, threshold, block), token_sets(texts, shingle, min_words), threshold, buckets or max(48, 8 * parts))
 
 
 def classes(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

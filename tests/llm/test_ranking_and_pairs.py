@@ -78,6 +78,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
 
 
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """750 pairs of a similarity of exactly 0.5 and as many just below."""
+    rng = random.Random(9)
+    rows, want = [], set()
+    for k in range(1500):
+        w = [f"k{k}w{j}" for j in range(90)]
+        v = w[: 60 + k % 2] + [f"k{k}v{j}" for j in range(30)]
+        rows += [(f"{k:04}a", " ".join(w)), (f"{k:04}b", " ".join(v))]
+        if jaccard(rows[-2][1], rows[-1][1], 3) >= 0.5:
+            want.add((f"{k:04}a", f"{k:04}b"))
+    rng.shuffle(rows)
+    got = {(r["id_a"], r["id_b"]) for r in near_dup.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string"), threshold=0.5, shingle=3, min_words=20).collect()}
+    assert len(want) >= 700 and got == want
+
+
 def test_near_duplicates_of_nothing_and_long_texts(spark):
     assert near_dup.near_duplicate_pairs(spark.createDataFrame([], "id string, text string")).count() == 0
     long = " ".join(f"w{k}" for k in range(60_000))
