@@ -58,6 +58,16 @@ class Engine:
     def queries(self, texts: list[str]) -> DataFrame:
         return self.spark.createDataFrame(list(enumerate(texts)), "query_id long, query_text string")
 
+    @staticmethod
+    def document_types(chunks: DataFrame, assets: DataFrame) -> DataFrame:
+        """(asset_id, document_type, confidence): the strongest type of which a cue or code occurs in a file's name or in one of its texts.
+
+        Texts are not put together, as one asset may hold a large share of all: a code parted by two chunks is not seen."""
+        named = assets.select(F.col("id").alias("asset_id"), "filename")
+        read = named.join(chunks.select("asset_id", "text"), "asset_id", "left")
+        found = metadata.classify(read).where("document_type <> 'other'")
+        return found.groupBy("asset_id").agg(F.max(F.struct("confidence", "document_type")).alias("t")).select("asset_id", "t.document_type", "t.confidence")
+
     def channels(self, queries: DataFrame, extensions: list[str] | None = None, folder: str | None = None, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """Plans, channels, best chunks and the assets that may be shown. ``vectors``: (query_id, q), the queries' vectors in the active profile."""
         plans = intent.plan(queries).persist()  # read by every channel; as small as the batch of queries
@@ -74,7 +84,7 @@ class Engine:
         best = search.best_chunks(scored.join(owner, "chunk_id"))
         ids = assets.select(F.col("id").alias("asset_id"))
         meta = metadata.extract(chunks.join(ids, "asset_id", "left_semi").withColumn("filename", F.lit("")))
-        types = metadata.classify(assets.withColumn("text", F.lit("")).select(F.col("id").alias("asset_id"), "text", "filename")).where("document_type <> 'other'").select("asset_id", "document_type", "confidence")
+        types = self.document_types(chunks, assets)
         entities = metadata.entities(meta.select("id", "asset_id", "text", "dates", "amounts"), "id").join(chunks.select("id", "asset_id"), "id").select("asset_id", "normalized_value", "confidence")
         tags = chunks.where("source = 'visual_tags'").select("asset_id", F.explode(F.split("text", ", ")).alias("normalized_label")).withColumn("confidence", F.lit(0.5))
         named = {

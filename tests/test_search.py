@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.api import Engine
 from quillspark.constants import WEIGHTS
 from quillspark.operators import chunking, postings, similarity
 from quillspark.plans import intent, search
@@ -114,6 +115,13 @@ def test_mcut_floor_and_gap(spark):
     assert got == {1: pytest.approx(0.575), 2: 0.2, 3: 0.2}
 
 
+def test_document_types_come_from_texts_too(spark):
+    assets = spark.createDataFrame([("a", "scan1.png"), ("b", "invoice.pdf"), ("c", "scan2.png"), ("d", "x.txt")], "id string, filename string")
+    chunks = spark.createDataFrame([("a", "nothing"), ("a", "Boarding Pass"), ("b", None), ("c", "TAX INVOICE"), ("c", "your PNR is"), ("d", "plain")], "asset_id string, text string")
+    got = {r["asset_id"]: (r["document_type"], r["confidence"]) for r in Engine.document_types(chunks, assets).collect()}
+    assert got == {"a": ("flight_ticket", 0.88), "b": ("invoice", 0.86), "c": ("train_ticket", 0.92)}
+
+
 def test_tag_channel_matches_words_and_starts(spark):
     plans = spark.createDataFrame([(0, ["lighthouse", "keeper"])], "query_id int, terms array<string>")
     tags = spark.createDataFrame([("a", "old lighthouse", 0.4), ("b", "lighthouses of", 0.9), ("c", "lighthouse keeper hut", 0.7), ("d", "house", 0.9)], "asset_id string, normalized_label string, confidence double")
