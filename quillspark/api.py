@@ -58,6 +58,14 @@ class Engine:
     def queries(self, texts: list[str]) -> DataFrame:
         return self.spark.createDataFrame(list(enumerate(texts)), "query_id long, query_text string")
 
+    def near_chunks(self, chunks: DataFrame, assets: DataFrame, vectors: DataFrame) -> DataFrame:
+        """(query_id, asset_id, chunk_id, exact, semantic): for each query and allowed asset the most similar chunk (the smallest id among equals), none cut."""
+        usable = chunks.where((F.col("embedding_profile_id") == self.selection.text) & (F.size("embedding") == F.col("embedding_dimensions")))
+        allowed = usable.join(assets.select(F.col("id").alias("asset_id")), "asset_id", "left_semi").select(F.struct("asset_id", F.col("id").alias("chunk_id")).alias("at"), "embedding")
+        scores = similarity.cosine_scores(allowed, "at", "embedding", vectors).select("query_id", "at.*", "score")
+        best = F.min_by(F.struct("chunk_id", "score"), F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("i")))
+        return scores.groupBy("query_id", "asset_id").agg(best.alias("b")).select("query_id", "asset_id", "b.chunk_id", F.lit(0.0).alias("exact"), F.col("b.score").alias("semantic"))
+
     @staticmethod
     def document_types(chunks: DataFrame, assets: DataFrame) -> DataFrame:
         """(asset_id, document_type, confidence): the strongest type of which a cue or code occurs in a file's name or in one of its texts.
@@ -76,12 +84,10 @@ class Engine:
         toks = postings.tokenised(chunks.select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
         exact = postings.bm25(toks, "chunk_id", plans).withColumnRenamed("score", "exact")
         owner = chunks.select(F.col("id").alias("chunk_id"), "asset_id").join(assets.select(F.col("id").alias("asset_id")), "asset_id")
-        scored = exact.select("query_id", "chunk_id", "exact", F.lit(0.0).alias("semantic"))
+        scored = exact.select("query_id", "chunk_id", "exact", F.lit(0.0).alias("semantic")).join(owner, "chunk_id")
         if vectors is not None:
-            usable = chunks.where((F.col("embedding_profile_id") == self.selection.text) & (F.size("embedding") == F.col("embedding_dimensions"))).select(F.col("id").alias("chunk_id"), "embedding")
-            near = similarity.top_by_cosine(usable, "chunk_id", "embedding", vectors, 1000).select("query_id", "chunk_id", F.lit(0.0).alias("exact"), F.col("score").alias("semantic"))
-            scored = scored.unionByName(near).groupBy("query_id", "chunk_id").agg(F.max("exact").alias("exact"), F.max("semantic").alias("semantic"))
-        best = search.best_chunks(scored.join(owner, "chunk_id"))
+            scored = scored.unionByName(self.near_chunks(chunks, assets, vectors))
+        best = search.best_chunks(scored)
         ids = assets.select(F.col("id").alias("asset_id"))
         meta = metadata.extract(chunks.join(ids, "asset_id", "left_semi").withColumn("filename", F.lit("")))
         types = self.document_types(chunks, assets)

@@ -11,16 +11,21 @@ from ..functions.vectors import blend_best_two, dot, dot_unrolled, norm
 DIGITS = 6
 
 
-def top_by_cosine(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, key, score) of the k most similar vectors for each query (query_id, q).
-
-    Exact scan: every row meets every query of this batch, which is broadcast; the cut to k runs before the shuffle."""
+def cosine_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame) -> DataFrame:
+    """(query_id, key, score) of every vector for each query (query_id, q) of a batch, which is broadcast."""
     # norms once for each vector, not for each pair
     rows = vectors.select(key, F.col(vector).alias("v"), norm(F.col(vector)).alias("nv"))
     asked = queries.select("query_id", "q", norm(F.col("q")).alias("nq"))
     n = F.col("nv") * F.col("nq")
     score = F.when((F.size("v") > 0) & (n > 0), dot(F.col("v"), F.col("q")) / n).otherwise(0.0)
-    scored = rows.crossJoin(F.broadcast(asked)).select("query_id", key, F.round(score, DIGITS).alias("score"))
+    return rows.crossJoin(F.broadcast(asked)).select("query_id", key, F.round(score, DIGITS).alias("score"))
+
+
+def top_by_cosine(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, key, score) of the k most similar vectors for each query (query_id, q).
+
+    Exact scan: every row meets every query of this batch, which is broadcast; the cut to k runs before the shuffle."""
+    scored = cosine_scores(vectors, key, vector, queries)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

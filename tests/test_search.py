@@ -115,6 +115,16 @@ def test_mcut_floor_and_gap(spark):
     assert got == {1: pytest.approx(0.575), 2: 0.2, 3: 0.2}
 
 
+def test_vector_hits_reach_every_allowed_asset(spark):
+    """An asset of very many near chunks, or one that is filtered out, leaves no other asset without its score."""
+    rows = [(f"c{k:04}", "big" if k % 2 else "out", [1.0, 0.0], "txt-base/v3", 2) for k in range(2400)] + [("s1", "small", [1.0, 1.0], "txt-base/v3", 2), ("s2", "small", [0.0, 1.0], "txt-base/v3", 2)]
+    chunks = spark.createDataFrame(rows, "id string, asset_id string, embedding array<float>, embedding_profile_id string, embedding_dimensions int")
+    assets = spark.createDataFrame([("big",), ("small",)], "id string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, q array<float>")
+    got = {r["asset_id"]: (r["chunk_id"], r["semantic"]) for r in Engine(spark, "").near_chunks(chunks, assets, vectors).collect()}
+    assert got == {"big": ("c0001", 1.0), "small": ("s1", pytest.approx(0.707107))}
+
+
 def test_document_types_come_from_texts_too(spark):
     assets = spark.createDataFrame([("a", "scan1.png"), ("b", "invoice.pdf"), ("c", "scan2.png"), ("d", "x.txt")], "id string, filename string")
     chunks = spark.createDataFrame([("a", "nothing"), ("a", "Boarding Pass"), ("b", None), ("c", "TAX INVOICE"), ("c", "your PNR is"), ("d", "plain")], "asset_id string, text string")
