@@ -299,7 +299,7 @@ def fused_results(spark, d):
 
 @query()
 def hybrid_search(spark, d):
-    """The flagship: eight channels over the library for a batch of queries; its parts have SQL of their own."""
+    """The flagship: six channels (neither semantic nor visual, as no vectors are given) over the library for a batch of queries; its parts have SQL of their own."""
     from ..api import Engine
 
     e = Engine(spark, d)
