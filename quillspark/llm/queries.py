@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoding, mixing, near_dup, neighbours, personal, quality, ranking, scans, splitting, tokens
-from .common import computed_once, table
+from .common import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,12 +91,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    judged = computed_once(quality.judge(quality.measure(table(spark, d, "documents"))).select("doc_id", "kind")).where("kind <> 'prose'")
+    judged = quality.judge(table(spark, d, "documents")).select("doc_id", "kind").where("kind <> 'prose'").distinct()
     return judged.join(table(spark, d, "doc_labels").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "kind")
 
 
 def p10_figures(spark: SparkSession, d: str) -> DataFrame:
-    return quality.judge(quality.measure(table(spark, d, "documents")))
+    return quality.judge(table(spark, d, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_groups, p3_found, p4_found, p4_pieces, p5_found, p5_restored, p6_found, p6_redacted, p7_found, p7_repaired, p8_ids, p9_mixture, p9_shares, p10_found, p10_figures)}
