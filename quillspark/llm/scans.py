@@ -2,12 +2,14 @@
 
   1. Lexicon: words are counted over the whole corpus of texts read from files; the most frequent ``lexicon_size`` of
      those seen ``least`` times and more are the model of what a word is.
-  2. Running lines: the first and last lines of each page get a key in which numbers are one sign and characters that
-     are mistaken for each other are one character; a key that stands on two and more pages of an asset runs.
-  3. Decoding: what remains of a page is one character stream without line ends. Words that the lexicon knows stand as
-     they are. Around every other place the stream is decoded anew: a lattice has every lexicon word that the characters
-     can stand for under confusions (rn/m, cl/d, 0/o, ...), across removed hyphens and spaces; the cheapest path by word
-     frequency, confusions, splits and merges wins (Viterbi).
+  2. Running lines: every line of a page gets a key in which numbers are one sign and characters that
+     are mistaken for each other are one character; a key that stands on two and more pages of an asset runs, if nothing
+     but running lines and page numbers stands between it and the page's edge.
+  3. Decoding: what remains of a page is one character stream. Around every place that is not plain known words the
+     stream is decoded anew, line ends, blanks and hyphens included, by one lattice: its edges are lexicon words that the
+     characters can stand for under confusions (rn/m, cl/d, 0/o, ...), across blanks, line ends and hyphens that may have
+     been put in, ends of words where a blank is missing, and, at a higher cost, what stands there. The path of the
+     least cost by word frequency, confusions, splits and merges wins (Viterbi); faults are read from it.
   4. Paragraphs: line ends become spaces or paragraph ends by dynamic programming over the lines, with costs for short
      lines, sentence ends, blank lines and indents.
 
@@ -61,24 +63,26 @@ def is_page_number(line: str) -> bool:
 def line_key(line: str) -> str:
     """Equal for lines that differ by numbers, spacing, case and misread characters; empty for lines that cannot run:
     those that end like a sentence or inside a word, or say too little."""
-    if re.search(rf"[.,;!?{HYPHENS}]$", line.strip()) and not re.search(r"\w[!|]$", line.strip()):
+    if re.search(rf"[{HYPHENS}.,;!?]$", line.strip()) and not re.search(r"\w[!|]$", line.strip()):
         return ""
     words = [picture(w) for w in line.split() if not re.fullmatch(r"[0-9lIOoSB|!]*[0-9][0-9lIOoSB|!.,/]*", w)]
     return " ".join(words) if sum(map(len, words)) > 3 else ""
 
 
-EDGE = 4  # lines from either end that may run
+def key_hash(key: str) -> int:
+    import xxhash
 
+    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
 
-def edge_lines(text: str) -> list[str]:
-    lines = [x for x in text.splitlines() if x.strip()]
-    return [x.strip() for x in (lines if len(lines) <= 2 * EDGE else lines[:EDGE] + lines[-EDGE:])]
+
+def page_keys(text: str) -> set[int]:
+    return {key_hash(k) for x in text.splitlines() if x.strip() and not is_page_number(x) and (k := line_key(x))}
 
 
 class Page:
     """A page parted into furniture (lines before and behind the body) and body lines."""
 
-    def __init__(self, text: str, running: set[str] | frozenset[str]):
+    def __init__(self, text: str, running: set[int] | frozenset[int]):
         self.lines = text.splitlines()
         n = len(self.lines)
         kind = [""] * n
@@ -89,7 +93,7 @@ class Page:
                     continue
                 if is_page_number(s):
                     kind[k] = "page_number"
-                elif (key := line_key(s)) and key in running:
+                elif running and (key := line_key(s)) and key_hash(key) in running:
                     kind[k] = "running_line"
                 else:
                     break
@@ -98,18 +102,56 @@ class Page:
         self.body = [s for k, s in zip(kind, self.lines) if not k]
 
 
+TOKEN = re.compile(r"[^\s,;:?()\"“”„…«»—–/]+")
+STRIP = ".,;:?()[]{}\"'“”‘’„…«»*_—–"
+
+
+def _core(token: str) -> tuple[int, int]:
+    """The part of a token without adjoining punctuation; marks that can be misread letters stay inside."""
+    a, b = 0, len(token)
+    while a < b and token[a] in STRIP:
+        a += 1
+    while b > a and token[b - 1] in STRIP:
+        b -= 1
+    return a, b
+
+
+def _is_word(core: str) -> bool:
+    letters = sum(c.isalpha() for c in core)
+    digits = sum(c.isdigit() for c in core)
+    return len(core) >= 3 and letters >= 2 and digits <= 2 and letters > digits and not re.match(r"^[A-Z]{2,}[-\d]", core)
+
+
+def _like(raw: str, word: str) -> str:
+    """``word`` with the capitals of what stands there."""
+    if raw.lower() == word:
+        return raw
+    first = next((c for c in raw if c.isalpha()), "a")
+    if first.isupper() and raw[0] == first:
+        return word.upper() if raw.isupper() and len(raw) > 3 else word[0].upper() + word[1:]
+    return word
+
+
+#: costs in natural logarithms beside those of words: what stands there stays, by token and character; a changed
+#: character; a blank put in; a blank left out; a line end without hyphen put in; a hyphen's two readings at a line end
+STAYS, STAYS_CHAR, CHANGED, BLANK_IN, BLANK_OUT, LINE_IN, HYPHEN_GOES, HYPHEN_STAYS = 20.0, 1.0, 3.0, 9.0, 9.0, 7.0, 0.5, 2.0
+DEEP = 6  # beginnings of pictures up to this length are known
+
+
 class Decoder:
+    """Viterbi decoding of a page's character stream over a lexicon."""
+
     def __init__(self, lexicon: dict[str, int]):
         self.count = lexicon
         self.total = math.log(sum(lexicon.values()) + 1.0)
         self.by: dict[str, list[str]] = {}
+        self.begins: set[str] = set()
         self.longest = 1
         for w in lexicon:
-            if len(w) > 2:
-                self.by.setdefault(picture(w), []).append(w)
-                self.longest = max(self.longest, len(w))
-        for words in self.by.values():
-            words.sort(key=lambda w: (-lexicon[w], w))
+            shape = picture(w)
+            self.by.setdefault(shape, []).append(w)
+            self.begins.update(shape[:k] for k in range(1, min(DEEP, len(shape)) + 1))
+            self.longest = max(self.longest, len(shape))
 
     def cost(self, word: str) -> float:
         return self.total - math.log(self.count[word])
@@ -126,154 +168,178 @@ class Decoder:
             y += 1
         return max(len(a), len(b)) - x - y
 
-    def words_for(self, raw: str) -> list[tuple[float, str]]:
-        """Lexicon words that the characters can stand for, with their costs."""
+    def best_word(self, raw: str, shape: str) -> tuple[float, str] | None:
+        """The cheapest lexicon word that the characters can stand for; short ones only as they are."""
         low = raw.lower()
         if low in self.count:
-            return [(self.cost(low), low)]
-        found = self.by.get(picture(raw))
-        if not found or len(low) < 3:
-            return []
-        return [(self.cost(w) + 3.0 * self.changes(low, w), w) for w in found[:4] if self.changes(low, w) <= 4]
-
-    def decode(self, raw: str) -> list[str] | None:
-        """Cheapest sequence of lexicon words for a stretch of the stream; spaces may fall away or come in at a cost."""
-        n = len(raw)
-        best: list[tuple[float, int, str] | None] = [None] * (n + 1)
-        best[0] = (0.0, 0, "")
-        for a in range(n):
-            if best[a] is None:
-                continue
-            if raw[a] == " ":
-                if best[a + 1] is None or best[a][0] < best[a + 1][0]:
-                    best[a + 1] = (best[a][0], a, "")
+            return self.cost(low), low
+        if len(low) < 3:
+            return None
+        return min(((self.cost(w) + CHANGED * self.changes(low, w), w) for w in self.by.get(shape, ()) if len(w) > 2), default=None)
+
+    def known(self, core: str) -> bool:
+        low = core.lower()
+        return low in self.count or low[-1] == "!" and low[:-1] in self.count
+
+    def edges(self, text: str, a: int, ends: set[int], inner: bool):
+        """(cost, b, raw, word, parted) of the lexicon words that text[a:b] can stand for.
+
+        ``ends``: where tokens end; elsewhere a word may end only if ``inner``, at the cost of a missing blank."""
+        stack = [(a, "", "", 0.0, "")]
+        while stack:
+            k, raw, shape, cost, parted = stack.pop()
+            if raw and (k in ends or inner and len(raw) > 2) and (found := self.best_word(raw, shape)):
+                yield cost + found[0] + (0.0 if k in ends else BLANK_OUT), k, raw, found[1], parted
+            if k >= len(text) or len(shape) > self.longest:
                 continue
-            fresh = 0.0 if a == 0 or raw[a - 1] == " " else 9.0  # a split that is not written
-            for b in range(a + 1, min(n, a + self.longest + 3) + 1):
-                piece = raw[a:b]
-                if piece[-1] == " ":
+            c = text[k]
+            if c in HYPHENS and (m := LINE_END.match(text, k + 1)):
+                if raw and not parted and m.end() < len(text):
+                    for sign, more in (("", HYPHEN_GOES), ("-", HYPHEN_STAYS)):
+                        if self._begins(shape + sign):
+                            stack.append((m.end(), raw + sign, shape + sign, cost + more, c))
+                if c != "-":
                     continue
-                spaces = piece.count(" ")
-                if spaces > 1:
-                    break
-                for c, w in self.words_for(piece.replace(" ", "")):
-                    c += best[a][0] + fresh + 9.0 * spaces
-                    if best[b] is None or c < best[b][0]:
-                        best[b] = (c, a, w)
-        if best[n] is None:
-            return None
-        out, at = [], n
+            if c in " \t\n":
+                m = BLANKS.match(text, k)
+                line = "\n" in m[0]
+                if raw and not (line and parted) and m.end() < len(text) and cost < STAYS:
+                    stack.append((m.end(), raw, shape, cost + (LINE_IN if line else BLANK_IN), "\n" if line else parted))
+                continue
+            now = shape + picture(c)
+            if self._begins(now):
+                stack.append((k + 1, raw + c, now, cost, parted))
+
+    def _begins(self, shape: str) -> bool:
+        return shape[:DEEP] in self.begins
+
+    def _as_it_stands(self, text: str, a: int, b: int, tokens: list[tuple[int, int]], t: int):
+        """Edges that need no lexicon word: the token itself, and the token with the next one where a hyphen parts them."""
+        raw = text[a:b]
+        yield STAYS + STAYS_CHAR * len(raw) if _is_word(raw) else 1.0, b, raw, raw.lower(), ""
+        if (k := raw.find("-", 1)) > 0 and k + 1 < len(raw):  # a part of it, at half the cost
+            yield STAYS / 2 + STAYS_CHAR * k, a + k, raw[:k], raw[:k].lower(), ""
+        if raw[-1] in HYPHENS and len(raw) > 1 and t + 1 < len(tokens) and "\n" in text[b : tokens[t + 1][0]] and not text[b : tokens[t + 1][0]].strip():
+            x, y = tokens[t + 1]
+            left, right = raw[:-1], text[x:y]
+            if not (right[0].isalpha() and _is_word(left + right)):
+                return
+            yield STAYS + STAYS_CHAR * len(left + right) + 1.0, y, left + right, (left + right).lower(), raw[-1]
+            if raw[-1] == "-" and len(left) > 2 and len(right) > 2 and left.lower() in self.count and right.lower() in self.count:
+                yield self.cost(left.lower()) + self.cost(right.lower()) + HYPHEN_STAYS, y, f"{left}-{right}", f"{left}-{right}".lower(), "-"
+
+    def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, str, str, str]]:
+        """The cheapest path over ``text``: (begin, end, raw, word, parted) of its words. ``tokens``: spans of what stands there."""
+        starts = {a: t for t, (a, _) in enumerate(tokens)}
+        ends = {b for _, b in tokens} | {b - 1 for a, b in tokens if b - a > 2 and text[b - 1] == "!"}
+        inside = set()  # where a word may begin although no blank stands before it
+        for a, b in tokens:
+            if b - a >= 6 and not self.known(text[a:b]) and text[a:b].islower() and text[a:b].replace("!", "").replace("|", "").isalnum():
+                inside.update(range(a + 3, b - 2))
+            inside.update(k + 1 for k in range(a + 1, b - 1) if text[k] == "-")
+        ends |= {k - 1 for k in inside if text[k - 1] == "-"}
+        best: dict[int, tuple[float, int, tuple | None]] = {0: (0.0, 0, None)}
+
+        def reach(a: int, b: int, cost: float, word: tuple | None):
+            if b not in best or cost < best[b][0]:
+                best[b] = cost, a, word
+
+        for a in range(len(text)):
+            if a not in best:
+                continue
+            base = best[a][0]
+            if a in starts or a in inside:
+                t = starts.get(a)
+                missing = t is None and text[a - 1] != "-"
+                token_end = next(b for x, b in tokens if x <= a < b)
+                inner = token_end in inside or any(k in inside for k in range(a + 3, token_end - 2))
+                for cost, b, raw, word, parted in self.edges(text, a, ends, inner):
+                    if b in ends or b in inside:
+                        reach(a, b, base + cost, (a, b, raw, word, parted))
+                if t is not None:
+                    for cost, b, raw, word, parted in self._as_it_stands(text, a, tokens[t][1], tokens, t):
+                        reach(a, b, base + cost, (a, b, raw, word, parted))
+                elif not missing:
+                    to = text.find("-", a + 1, token_end - 1)
+                    raw = text[a : to if to > 0 else token_end]
+                    reach(a, a + len(raw), base + STAYS / 2 + STAYS_CHAR * len(raw), (a, a + len(raw), raw, raw.lower(), ""))
+            if a in ends or a == 0 and a not in starts:
+                b = a
+                while b < len(text) and b not in starts and b not in inside:
+                    b += 1
+                if b > a or b == len(text):
+                    reach(a, b, base + 0.1, None)
+        path, at = [], len(text)
         while at > 0:
-            _, before, w = best[at]
-            if w:
-                out.append(w)
+            _, before, word = best[at]
+            if word:
+                path.append(word)
             at = before
-        return out[::-1]
-
-    def joined(self, left: str, right: str, sign: str) -> str:
-        """A word that was parted at a line end, as it must read."""
-        whole, kept = left + right, f"{left}-{right}"
-        a, b = self.count.get(whole.lower(), 0), self.count.get(kept.lower(), 0)
-        if a or b:
-            return kept if b > a else whole
-        ways = [(c + (1.5 if k else 0), k, w) for k, raw in enumerate((whole, kept)) for c, w in self.words_for(raw)]
-        if ways:
-            word = min(ways)[2]
-            return word.capitalize() if left[0].isupper() else word
-        if sign == "-" and left.lower() in self.count and right.lower() in self.count and len(left) > 2 and len(right) > 2:
-            return kept
+        path.reverse()
+        whole = []  # words that a hyphen joins are one
+        for w in path:
+            if whole and w[0] == whole[-1][1] + 1 and text[whole[-1][1]] == "-" and text[w[0] : w[0] + 1].strip():
+                x = whole.pop()
+                w = (x[0], w[1], f"{x[2]}-{w[2]}", f"{x[3]}-{w[3]}", x[4] or w[4])
+            whole.append(w)
         return whole
 
-    def correct(self, token: str) -> str | None:
-        """The word that an unknown token must read, or None to leave it."""
-        low = token.lower()
-        if low in self.count or len(low) < 3:
-            return None
-        ways = self.words_for(token)
-        if not ways and "-" in token:
-            parts = token.split("-")
-            done = [p if p.lower() in self.count else self.correct(p) for p in parts]
-            if all(done) and done != parts:
-                return "-".join(done)
-        if not ways:
-            return None
-        word = min(ways)[1]
-        if word == low:
-            return None
-        first = next((c for c in token if c.isalpha()), "a")
-        if first.isupper() and token[0] == first:
-            word = word.upper() if token.isupper() and len(token) > 3 else word[0].upper() + word[1:]
-        return word
-
-
-TOKEN = re.compile(r"[^\s,;:?()\"“”„…«»—–/]+")
-STRIP = ".,;:?()[]{}\"'“”‘’„…«»*_—–"
-
-
-def _core(token: str) -> tuple[int, int]:
-    """The part of a token without adjoining punctuation; marks that can be misread letters stay inside."""
-    a, b = 0, len(token)
-    while a < b and token[a] in STRIP:
-        a += 1
-    while b > a and token[b - 1] in STRIP:
-        b -= 1
-    return a, b
-
 
-def _is_word(core: str) -> bool:
-    letters = sum(c.isalpha() for c in core)
-    digits = sum(c.isdigit() for c in core)
-    return len(core) >= 3 and letters >= 2 and digits <= 2 and letters > digits and not re.match(r"^[A-Z]{2,}[-\d]", core)
+LINE_END = re.compile(r"[ \t]*\n\s*")
+BLANKS = re.compile(r"\s+")
+
+
+def stretches(text: str, decoder: Decoder) -> list[list[tuple[int, int]]]:
+    """Where the stream must be decoded: runs of tokens (spans without adjoining punctuation) that hold an unknown one or one
+    that ends in a line's hyphen, with a neighbour on either side where only blanks stand between."""
+    spans = []
+    for m in TOKEN.finditer(text):
+        a, b = _core(m[0])
+        if a < b:
+            spans.append((m.start() + a, m.start() + b))
+    odd = [False] * len(spans)
+    for k, (a, b) in enumerate(spans):
+        core = text[a:b]
+        odd[k] = not decoder.known(core) and (_is_word(core) or core[-1] in HYPHENS and len(core) > 1)
+    take = list(odd)
+    near = lambda k: not text[spans[k][1] : spans[k + 1][0]].strip()
+    for k in range(len(spans) - 1):
+        if near(k):
+            if odd[k]:
+                take[k + 1] = True
+            if odd[k + 1]:
+                take[k] = True
+    out: list[list[tuple[int, int]]] = []
+    for k, span in enumerate(spans):
+        if take[k]:
+            if out and k and take[k - 1] and near(k - 1):
+                out[-1].append(span)
+            else:
+                out.append([span])
+    return out
 
 
 def read_body(body: list[str], decoder: Decoder):
-    """Repaired lines (None where a line end disappears into its word), broken words, misread words."""
-    broken, misread, out = [], [], []
-    lines = [x.rstrip() for x in body]
-    k = 0
-    while k < len(lines):
-        line, cut = lines[k], None
-        nxt = next((j for j in range(k + 1, len(lines)) if lines[j].strip()), None)
-        if line and line[-1] in HYPHENS and nxt is not None:
-            left = re.search(r"([^\W_](?:[^\s])*)$", line[:-1])
-            right = re.match(r"\s*([^\s]+)", lines[nxt])
-            if left and right and (right[1][0].isalpha() or right[1][0] in "01!|5$@9"):
-                la, _ = _core(left[1])
-                head = left[1][la:]
-                _, rb = _core(right[1])
-                tail = re.match(r"[^,;:?()\"“”„…«»—–/.]*", right[1][:rb])[0]
-                if head and tail and _is_word(head + tail):
-                    word = decoder.joined(head, tail, line[-1])
-                    broken.append(word)
-                    line = line[: left.start() + la]
-                    rest = lines[nxt].lstrip()[len(tail) :]
-                    cut = word + (re.match(r"\S*", rest)[0])
-                    lines[nxt] = rest[len(re.match(r"\S*", rest)[0]) :]
-        shown, last = [], 0
-        for m in TOKEN.finditer(line):
-            a, b = _core(m[0])
-            core = m[0][a:b]
-            if not core or core.lower() in decoder.count or not _is_word(core):
-                continue
-            if core[-1] == "!" and core[:-1].lower() in decoder.count:
-                continue
-            word = decoder.correct(core)
-            if word is None and core[-1] == "!":
-                word = decoder.correct(core[:-1])
-                b -= word is not None
-            if word is None and core.isalpha() and len(core) >= 6 and core.islower():
-                words = decoder.decode(core)
-                if words and len(words) > 1 and all(len(w) > 2 for w in words):
-                    shown += [line[last : m.start() + a], " ".join(words)]
-                    last = m.start() + b
-                continue
-            if word is not None:
-                misread.append(word)
-                shown += [line[last : m.start() + a], word]
-                last = m.start() + b
-        out.append("".join([*shown, line[last:]]) + (cut or ""))
-        k += 1
-    return out, list(dict.fromkeys(broken)), list(dict.fromkeys(misread))
+    """Repaired lines, broken words, misread words; a line end inside a word is gone, the others stay."""
+    text = "\n".join(x.rstrip() for x in body)
+    broken, misread, out, last, before = [], [], [], 0, -1
+    for spans in stretches(text, decoder):
+        a, b = spans[0][0], spans[-1][1]
+        for x, y, raw, word, parted in decoder.decode(text[a:b], [(p - a, q - a) for p, q in spans]):
+            shown = _like(raw, word)
+            if parted:
+                broken.append(shown)
+            elif raw.lower() != word:
+                misread.append(shown)
+            if a + x == before:  # a blank was missing
+                out += [text[last : a + x], " "]
+                last = a + x
+            if shown != text[a + x : a + y]:
+                out += [text[last : a + x], shown]
+                last = a + y
+            before = a + y
+    out.append(text[last:])
+    return "".join(out).split("\n"), list(dict.fromkeys(broken)), list(dict.fromkeys(misread))
 
 
 def paragraphs(lines: list[str]) -> str:
@@ -333,14 +399,14 @@ def _pages(chunks: DataFrame) -> DataFrame:
 
 
 def running_keys(pages: DataFrame) -> DataFrame:
-    """(id, keys): the running lines' keys of each page that has any."""
+    """(id, keys): hashes of the running lines' keys of each page that has any."""
 
     def run(batches):
         for batch in batches:
-            rows = [(i, a, k) for i, a, t in zip(*[batch.column(c).to_pylist() for c in range(3)]) if a is not None for k in {line_key(x) for x in edge_lines(t) if not is_page_number(x)} - {""}]
-            yield pa.RecordBatch.from_pydict({n: pa.array([r[c] for r in rows], pa.string()) for c, n in enumerate(("id", "asset_id", "key"))})
+            rows = [(i, a, k) for i, a, t in zip(*[batch.column(c).to_pylist() for c in range(3)]) if a is not None for k in page_keys(t)]
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[c] for r in rows], t) for c, (n, t) in enumerate((("id", pa.string()), ("asset_id", pa.string()), ("key", pa.int64())))})
 
-    keys = pages.mapInArrow(run, "id string, asset_id string, key string")
+    keys = pages.mapInArrow(run, "id string, asset_id string, key long")
     runs = keys.groupBy("asset_id", "key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("asset_id", "key")
     return keys.join(runs, ["asset_id", "key"]).groupBy("id").agg(F.collect_set("key").alias("keys"))
 

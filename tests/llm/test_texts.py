@@ -146,6 +146,62 @@ def test_scan_faults_and_repair(spark):
     assert scans.faults(df.where("false")).count() == 0
 
 
+LEXICON = {w: 20 for w in "photograph of western lounge warranty remembered pharmacy near portrait ends soon children well-known self-catering schedule mustard on this a in".split()} | {"the": 400}
+
+
+@pytest.mark.parametrize(
+    "text, fixed, broken, misread",
+    [
+        ("The pho tograph of the wes tern lounge", "The photograph of the western lounge", [], []),
+        ("near\nthewarranty rem embered", "near\nthe warranty remembered", [], []),
+        ("the phar\nmacy ends", "the pharmacy ends", ["pharmacy"], []),
+        ("pho to\ngraph wes ter-\nn", "photograph western", ["photograph", "western"], []),
+        ("the we11-known self-\ncatering por¬\ntrait, soon", "the well-known self-catering portrait, soon", ["self-catering", "portrait"], ["well-known"]),
+        ("rernembered,thewestern Lounge", "remembered,the western Lounge", [], ["remembered"]),
+        ("pho t0graph blue-w3stern", "photograph blue-western", [], ["photograph", "blue-western"]),
+        ("Mar-\nhaven Quistavale", "Marhaven Quistavale", ["Marhaven"], []),
+        ("the lounge-\n", "the lounge-\n", [], []),
+        ("-", "-", [], []),
+        ("", "", [], []),
+    ],
+)
+def test_splits_merges_hyphens_and_confusions_are_decoded_together(text, fixed, broken, misread):
+    lines, b, m = scans.read_body(text.split("\n"), scans.Decoder(LEXICON))
+    assert ("\n".join(lines), b, m) == (fixed, broken, misread)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_damaged_streams_are_restored(seed):
+    rng = random.Random(seed)
+    decoder, words = scans.Decoder(LEXICON), [w for w in LEXICON if len(w) > 5 and "-" not in w]
+    good = total = 0
+    for _ in range(40):
+        row = [rng.choice(words) for _ in range(6)]
+        k = rng.randrange(1, 5)
+        cut = rng.randrange(2, len(row[k]) - 2)
+        bad = row[:]
+        how = rng.choice(("blank", "hyphen", "line", "merge", "both"))
+        if how == "merge":
+            bad[k : k + 2] = [bad[k] + bad[k + 1]]
+        else:
+            bad[k] = row[k][:cut] + {"blank": " ", "hyphen": "-\n", "line": "\n", "both": " "}[how] + row[k][cut:]
+            if how == "both":
+                bad[k] = bad[k].replace("m", "rn").replace("o", "0")
+        got = " ".join(" ".join(scans.read_body(" ".join(bad).split("\n"), decoder)[0]).split())
+        good += got == " ".join(row)
+        total += 1
+    assert good >= 0.95 * total
+
+
+def test_lines_run_wherever_they_stand_and_whatever_they_end_in():
+    head = [f"Head {k} of the house" for k in range(9)]
+    pages = ["\n".join([*head, f"body {w} text.", "all copies numbered"]) for w in ("one", "two")]
+    keys = scans.page_keys(pages[0]) & scans.page_keys(pages[1])
+    page = scans.Page(pages[0], frozenset(keys))
+    assert page.body == ["body one text."] and len(page.furniture) == 10
+    assert scans.line_key("which ends a sentence.") == scans.line_key("and parted by hyph-") == ""
+
+
 def test_tokens_equal_the_public_encoder(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer
