@@ -19,15 +19,21 @@ def p1_fused(spark: SparkSession, d: str) -> DataFrame:
     return ranking.fuse_rankings(table(spark, d, "search_results"), "query_id", "asset_id")
 
 
+EDITED = {"threshold": 0.5, "shingle": 3, "min_words": 20}
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").select("id", "asset_id", "text")
-    pairs = near_dup.near_duplicate_pairs(chunks, threshold=0.5, shingle=3, min_words=20)
-    return near_dup.without_known_copies(pairs, chunks, table(spark, d, "assets")).select("id_a", "id_b")
+    return near_dup.near_duplicate_pairs(table(spark, d, "chunks"), digests=near_dup.known_digests(table(spark, d, "assets")), **EDITED).select("id_a", "id_b")
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").select("id", "asset_id", "text")
-    return near_dup.groups_of(near_dup.near_duplicate_pairs(chunks, threshold=0.5, shingle=3, min_words=20, expand=64))
+    return near_dup.near_duplicate_groups(table(spark, d, "chunks"), digests=near_dup.known_digests(table(spark, d, "assets")), **EDITED)
+
+
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    members = near_dup.membership(table(spark, d, "chunks"), digests=near_dup.known_digests(table(spark, d, "assets")))
+    first = members.groupBy("cls").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    return members.join(first, "cls").select("id", "digest", "first_id", "copies")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +105,7 @@ def p10_figures(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_groups, p3_found, p4_found, p4_pieces, p5_found, p5_restored, p6_found, p6_redacted, p7_found, p7_repaired, p8_ids, p9_mixture, p9_shares, p10_found, p10_figures)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_groups, p2_members, p3_found, p4_found, p4_pieces, p5_found, p5_restored, p6_found, p6_redacted, p7_found, p7_repaired, p8_ids, p9_mixture, p9_shares, p10_found, p10_figures)}
 
 _RANKS = """
 WITH once AS (
@@ -120,16 +126,28 @@ fused AS (
   FROM once o LEFT JOIN ranked USING (query_id, asset_id) GROUP BY 1, 2)
 """
 
+_PAIRS = r"""
+WITH RECURSIVE w AS (SELECT id, asset_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT id, asset_id, text FROM chunks) WHERE text IS NOT NULL),
+s AS (SELECT id, asset_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
+u AS (SELECT id, unnest(g) AS g FROM s),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+h AS (SELECT id AS asset_id, max(lower(sha256)) AS sha FROM assets WHERE sha256 IS NOT NULL GROUP BY 1),
+pairs AS (SELECT id_a, id_b FROM p JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b LEFT JOIN h hx ON hx.asset_id = x.asset_id LEFT JOIN h hy ON hy.asset_id = y.asset_id
+WHERE 2 * n >= len(x.g) + len(y.g) - n AND (hx.sha IS NULL OR hy.sha IS NULL OR hx.sha <> hy.sha))
+"""
+
 ORACLE = {
     "p1_found": _RANKS.format(where="WHERE query_id NOT IN (SELECT query_id FROM relevance_labels)")
     + "SELECT query_id, asset_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, asset_id) AS n FROM fused) WHERE n <= 5",
     "p1_fused": _RANKS.format(where="") + "SELECT query_id, asset_id, fused FROM fused",
-    "p2_found": r"""
-WITH w AS (SELECT id, asset_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT id, asset_id, text FROM chunks) WHERE text IS NOT NULL),
-s AS (SELECT id, asset_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
-u AS (SELECT id, unnest(g) AS g FROM s),
-p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
-h AS (SELECT id AS asset_id, max(lower(sha256)) AS sha FROM assets WHERE sha256 IS NOT NULL GROUP BY 1)
-SELECT id_a, id_b FROM p JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b LEFT JOIN h hx ON hx.asset_id = x.asset_id LEFT JOIN h hy ON hy.asset_id = y.asset_id
-WHERE 2 * n >= len(x.g) + len(y.g) - n AND (hx.sha IS NULL OR hy.sha IS NULL OR hx.sha <> hy.sha)""",
+    "p2_found": _PAIRS + "SELECT id_a, id_b FROM pairs",
+    "p2_groups": _PAIRS
+    + """, both_ways AS (SELECT id_a AS id, id_b AS other FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reach(id, other) AS (SELECT DISTINCT id, id FROM both_ways UNION SELECT reach.id, b.other FROM reach JOIN both_ways b ON b.id = reach.other),
+named AS (SELECT id, min(other) AS group_id FROM reach GROUP BY 1)
+SELECT id, group_id, links FROM named JOIN (SELECT id, count(*) AS links FROM both_ways GROUP BY 1) USING (id)""",
+    "p2_members": """
+WITH h AS (SELECT id AS asset_id, max(lower(sha256)) AS sha FROM assets WHERE sha256 IS NOT NULL GROUP BY 1),
+m AS (SELECT c.id, c.text, max(h.sha) AS digest FROM chunks c LEFT JOIN h USING (asset_id) WHERE c.id IS NOT NULL AND c.text IS NOT NULL GROUP BY 1, 2)
+SELECT id, digest, min(id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS copies FROM m""",
 }

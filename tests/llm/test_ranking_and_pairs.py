@@ -111,14 +111,55 @@ def test_large_classes_of_copies_become_stars(spark):
     text = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(f"i{k:03}", text) for k in range(10)] + [("x", text + " more")], "id string, text string")
     got = {(r["id_a"], r["id_b"]) for r in near_dup.near_duplicate_pairs(df, expand=4).collect()}
-    assert got == {("i000", f"i{k:03}") for k in range(1, 10)} | {("i000", "x")}
-
-
-def test_known_copies_are_left_out(spark):
-    pairs = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 0.6), ("a", "d", 0.6)], "id_a string, id_b string, similarity double")
-    chunks = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C"), ("d", None)], "id string, asset_id string")
-    assets = spark.createDataFrame([("A", "FF"), ("A", None), ("B", "ff"), ("C", None)], "id string, sha256 string")
-    assert {r["id_b"] for r in near_dup.without_known_copies(pairs, chunks, assets).collect()} == {"c", "d"}
+    assert got == {("i000", f"i{k:03}") for k in range(1, 10)} | {(f"i{k:03}", "x") for k in range(10)}
+
+
+def shared_library(rng):
+    """Chunks with copies and edited copies in files of known, equal and unknown digests."""
+    texts = library(rng, 60)
+    rows = []
+    for k, t in enumerate(texts):
+        for c in range(rng.choice([1, 1, 2, 5])):
+            rows.append((f"i{k:03}{c}", rng.choice([*"ABCDEF", None]), t))
+    assets = [("A", "FF"), ("A", None), ("B", "ff"), ("C", "aa"), ("D", None), ("E", "aa"), ("E", "AA")]
+    sha = {"A": "ff", "B": "ff", "C": "aa", "E": "aa"}
+    pairs = set()
+    for x, y in itertools.combinations(sorted(rows), 2):
+        if min(len(r[2].split()) for r in (x, y)) >= 20 and (x[1] not in sha or sha[x[1]] != sha.get(y[1])) and jaccard(x[2], y[2], 3) >= 0.5:
+            pairs.add((x[0], y[0]))
+    return rows, assets, sha, pairs
+
+
+@pytest.mark.parametrize("seed", (1, 2))
+def test_pairs_and_groups_with_digests_equal_brute_force(spark, seed):
+    rows, assets, sha, want = shared_library(random.Random(seed))
+    chunks, files = spark.createDataFrame(rows, "id string, asset_id string, text string").withColumn("digest", F.lit("clash")), spark.createDataFrame(assets, "id string, sha256 string")
+    how = dict(threshold=0.5, shingle=3, min_words=20, digests=near_dup.known_digests(files))
+    assert {(r["id_a"], r["id_b"]) for r in near_dup.near_duplicate_pairs(chunks, **how).collect()} == want
+    # in the compact form every pair is led to by members of the same text and digest
+    compact = {(r["id_a"], r["id_b"]) for r in near_dup.near_duplicate_pairs(chunks, expand=1, **how).collect()}
+    unit = {i: (t, sha.get(a) or i) for i, a, t in rows}
+    led = {frozenset((unit[a], unit[b])) for a, b in compact}
+    assert compact <= want and all(frozenset((unit[a], unit[b])) in led for a, b in want if unit[a][0] != unit[b][0])
+    label = {i: i for p in want for i in p}
+    for _ in label:
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["id"]: (r["group_id"], r["links"]) for r in near_dup.near_duplicate_groups(chunks, **how).collect()}
+    assert got == {i: (g, sum(i in p for p in want)) for i, g in label.items()}
+    members = {r["id"]: (r["cls"], r["digest"]) for r in near_dup.membership(chunks, digests=near_dup.known_digests(files)).collect()}
+    assert {i: sha.get(a) for i, a, _ in rows} == {i: d for i, (_, d) in members.items()} and len({c for c, _ in members.values()}) == len({t for _, _, t in rows})
+
+
+def test_frequent_columns_and_groups_are_split(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = library(rng, 80)
+    df = spark.createDataFrame([(f"i{k:03}", t) for k, t in enumerate(texts)], "id string, text string")
+    run = lambda: {(r["id_a"], r["id_b"]) for r in near_dup.near_duplicate_pairs(df, threshold=0.5, shingle=3, min_words=20).collect()}
+    whole = run()
+    for name, value in (("COLUMN_ROWS", 5), ("HELD", 3), ("BLOCK", 2), ("QUERIES", 2)):
+        monkeypatch.setattr(near_dup, name, value)
+    assert whole and run() == whole
 
 
 def test_copies_of_a_large_class_keep_all_pairs_but_known_copies(spark, tmp_path):
