@@ -413,47 +413,52 @@ def open_groups(queries: DataFrame, members: DataFrame, threshold: float, bucket
     return rows.groupBy(F.pmod(F.xxhash64("gid", "slot"), F.lit(buckets)).alias("bucket")).applyInArrow(run, "cls_a long, cls_b long, similarity double")
 
 
-def similar_classes(texts: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 5, block: int = 256, buckets: int | None = None) -> DataFrame:
-    """(cls_a, cls_b, similarity), cls_a < cls_b, from ``texts`` (cls, text); see the module's text."""
+def similar_classes(texts: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 5, block: int = 256, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cls_a, cls_b, similarity), cls_a < cls_b, from ``texts`` (cls, text), and (cls) of all texts that are long enough,
+    maybe repeated; see the module's text."""
     sets = cut(token_sets(texts, shingle, min_words), "token-sets")
     counts = token_counts(sets)
-    asked = candidates(columns(sets, threshold, counts, buckets or column_buckets(counts, threshold)), threshold, block)
+    asked = cut(candidates(columns(sets, threshold, counts, buckets or column_buckets(counts, threshold)), threshold, block), "asked")
     slots = asked.groupBy("gid").agg((1 + F.floor(F.count("*") / QUERIES)).cast("int").alias("slots"))
     queries = asked.join(slots, "gid").select(F.col("q").alias("cls"), "gid", F.pmod(F.xxhash64("q"), F.col("slots")).cast("int").alias("slot")).join(sets, "cls")
     members = grouped(sets, counts).join(slots, "gid").select("gid", "cls", "tokens", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
-    return open_groups(queries, members, threshold, buckets or max(48, 8 * partitions_of(texts))).dropDuplicates(["cls_a", "cls_b"])
+    pairs = open_groups(queries, members, threshold, buckets or max(48, 8 * partitions_of(texts))).dropDuplicates(["cls_a", "cls_b"])
+    return cut(pairs, "class-pairs"), sets.select("cls")
 
 
-def long_enough(text, min_words: int, shingle: int):
-    return F.size(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))) >= max(min_words, shingle)
+def _rows(df: DataFrame, id_col: str, text_col: str, owner: str | None) -> DataFrame:
+    """(cls, id, owner) of all rows with an id and a text."""
+    own = F.lit(None).cast("string") if owner is None else F.col(owner)
+    return df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("cls"), F.col(id_col).alias("id"), own.alias("owner"))
 
 
-def membership(df: DataFrame, id_col: str = "id", text_col: str = "text", digests: DataFrame | None = None, owner: str = "asset_id") -> DataFrame:
-    """(cls, id, digest): which rows share one text; ``digests``: (owner, digest), known ones."""
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("cls"), F.col(text_col).alias("text"), *([F.col(owner).alias("owner")] if digests is not None else [])).where("id is not null and text is not null").drop("text").distinct()
+def _with_digests(rows: DataFrame, digests: DataFrame | None, owner: str) -> DataFrame:
     if digests is None:
-        return rows.select("cls", "id", F.lit(None).cast("string").alias("digest"))
+        return rows.select("cls", "id", F.lit(None).cast("string").alias("digest")).distinct()
     known = digests.select(F.col(owner).alias("owner"), "digest").where("owner is not null and digest is not null").groupBy("owner").agg(F.max("digest").alias("digest"))
     return rows.join(known, "owner", "left").groupBy("cls", "id").agg(F.max("digest").alias("digest"))
 
 
-def _linked_members(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, min_words: int, shingle: int, digests: DataFrame | None, owner: str) -> DataFrame:
-    """(cls, id, digest) of the classes that are in a pair or have copies long enough to count."""
-    hashed = df.select(F.xxhash64(text_col).alias("cls"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    repeated = hashed.groupBy("cls").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("cls")
-    able = hashed.join(repeated, "cls", "left_semi").where(long_enough(F.col("text"), min_words, shingle)).select("cls")
-    wanted = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).unionByName(able).distinct()
-    some = df.select(id_col, text_col, *([owner] if digests is not None else [])).join(wanted.withColumnRenamed("cls", "wanted_cls"), F.xxhash64(text_col) == F.col("wanted_cls"), "left_semi")
-    return membership(some, id_col, text_col, digests, owner)
+def membership(df: DataFrame, id_col: str = "id", text_col: str = "text", digests: DataFrame | None = None, owner: str = "asset_id") -> DataFrame:
+    """(cls, id, digest): which rows share one text; ``digests``: (owner, digest), known ones."""
+    return _with_digests(_rows(df, id_col, text_col, owner if digests is not None else None), digests, owner)
+
+
+def _pairs_and_members(df: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, min_words: int, digests: DataFrame | None, owner: str, how: dict) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes, and (cls, id, digest) of the classes that are in a pair or have copies long enough to count."""
+    rows = _rows(df, id_col, text_col, owner if digests is not None else None)
+    texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("cls"), F.col(text_col).alias("text"))
+    pairs, able = similar_classes(texts, threshold, shingle, min_words, **how)
+    repeated = rows.groupBy("cls").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("cls").join(able, "cls", "left_semi")
+    wanted = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).unionByName(repeated).distinct()
+    return pairs, cut(_with_digests(rows.join(wanted, "cls", "left_semi"), digests, owner), "members")
 
 
 def near_duplicate_pairs(
     df: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, min_words: int = 5, digests: DataFrame | None = None, owner: str = "asset_id", expand: int = 256, **how
 ) -> DataFrame:
     """(id_a, id_b, similarity), the smaller id first; see the module's text for ``digests`` and ``expand``."""
-    texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("cls"), F.col(text_col).alias("text"))
-    pairs = cut(similar_classes(texts, threshold, shingle, min_words, **how), "class-pairs")
-    members = cut(_linked_members(df, pairs, id_col, text_col, min_words, shingle, digests, owner), "members")
+    pairs, members = _pairs_and_members(df, id_col, text_col, threshold, shingle, min_words, digests, owner, how)
     unit = F.coalesce(F.col("digest"), F.concat(F.lit("\x00"), F.col("id")))
     sizes = members.groupBy("cls").agg(F.count("*").alias("n"))
     # the members that stand in pairs: all of a class of up to ``expand``, else one of each unit
@@ -482,11 +487,7 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """(id, group_id, links): connected groups of the pairs that count, named by their smallest id, and how many pairs each row
     is in. Works on classes, whatever their size; rows without a pair have no row."""
-    texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("cls"), F.col(text_col).alias("text"))
-    pairs = cut(similar_classes(texts, threshold, shingle, min_words, **how), "class-pairs")
-    members = cut(_linked_members(df, pairs, id_col, text_col, min_words, shingle, digests, owner), "members")
-    long = texts.where(long_enough(F.col("text"), min_words, shingle)).select("cls")
-    members = members.join(long.distinct(), "cls", "left_semi")
+    pairs, members = _pairs_and_members(df, id_col, text_col, threshold, shingle, min_words, digests, owner, how)
     sizes = members.groupBy("cls").agg(F.count("*").alias("n"))
     by_digest = members.where("digest is not null").groupBy("cls", "digest").agg(F.count("*").alias("same"))
     both = pairs.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")).unionByName(pairs.select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other")))
