@@ -67,13 +67,13 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").where("source is null or source <> 'visual_tags'")
-    return personal.mentions(chunks, personal.train(chunks))
+    chunks = table(spark, d, "chunks")
+    return personal.mentions(*personal.train(chunks))
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").where("source is null or source <> 'visual_tags'")
-    return personal.redacted(chunks, personal.train(chunks))
+    chunks = table(spark, d, "chunks")
+    return personal.redacted(chunks, personal.train(chunks)[0])
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -118,16 +118,16 @@ PII = [
 def test_mentions_and_placeholders(spark):
     rows = [(f"{k}-{n}", t) for k in range(12) for n, (t, _) in enumerate(PII)] + [("null", None), ("empty", ""), ("0-0", PII[0][0])]
     df = spark.createDataFrame(rows, "id string, text string").withColumn("kind", F.lit(1))
-    finder = personal.train(df)
+    finder, spans = personal.train(df)
     got = {}
-    for r in personal.mentions(df, finder).collect():
+    for r in personal.mentions(finder, spans).collect():
         got.setdefault(r["id"], set()).add((r["kind"], r["found_value"]))
     for n, (_, want) in enumerate(PII):
         assert got.get(f"3-{n}", set()) == want
     clean = {r["id"]: r["text"] for r in personal.redacted(df, finder).collect()}
     assert clean["0-0"] == "Contact: [PERSON_NAME]. Ring [PHONE] and ask." and "0-8" not in clean
     empty = df.where("false")
-    assert personal.mentions(empty, personal.train(empty)).count() == 0
+    assert personal.mentions(*personal.train(empty)).count() == 0
 
 
 def test_scan_faults_and_repair(spark):
