@@ -16,12 +16,14 @@ gives no rows; repeated rows count once; the dictionaries come from at most ``pe
 chosen by hash, and an empty or missing set of training texts gives an empty dictionary; other columns are ignored.
 
 Scale: one map over the rows without a shuffle of texts; what is broadcast is one dictionary of at most
-``dictionary_bytes`` per language.
+twice ``dictionary_bytes`` for each of ``languages`` languages.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -107,7 +109,6 @@ def undo_swap(part: str, true: str, read_as: str) -> str | None:
     return None if new == part else new
 
 
-BEAM = 4
 MARK = "\x1e"
 PARTS = re.compile(r"[^\n.!?;]*[\n.!?;]*")
 _SWAPS = tuple((a, b, re.compile(p)) for a, b, p in SWAPS)
@@ -151,25 +152,25 @@ class Repairer:
     def _chains(self, text: str) -> str:
         """The text at the end of the chain of the least description length; unchanged if that is the empty chain.
 
-        A step of a longer chain may lengthen the text, so the ``BEAM`` shortest of each length go on."""
-        least, best, front, known = None, text, [text], {text}
-        for step in range(1, 6):
-            new = []
+        A step of a longer chain may lengthen the description, so every chain is followed to its end. There are few: a step
+        leaves fewer characters than before, and chains that lead to the same text are one."""
+        least, best, front, known, step = None, text, [text], {text}, 0
+        while front:
+            step, new = step + 1, []
             for now in front:
                 runs = " ".join(set(RUN.findall(now)))
                 for codec in READ_AS if runs else ():
                     got = undo_utf8(now, codec, runs)
                     if got is not None and got not in known:
                         known.add(got)
-                        new.append((float(self.length(got)), len(new), got))
-            if not new:
-                break
-            if least is None:
+                        new.append(got)
+            if new and least is None:
                 least = float(self.length(text))
-            new.sort()
-            if new[0][0] + self.step_cost * step < least:
-                least, best = new[0][0] + self.step_cost * step, new[0][2]
-            front = [x for _, _, x in new[:BEAM]]
+            for got in new:
+                size = self.length(got) + self.step_cost * step
+                if size < least:
+                    least, best = size, got
+            front = new
         return best
 
     def _affected(self, text: str) -> str:
@@ -195,38 +196,60 @@ class Repairer:
         return min((self.length(first), 0, first), (self.length(second), 1, second))[2]
 
 
-def train(documents: DataFrame, lang: str = "lang", text: str = "text", order: str = "doc_id", per_language: int = 400, dictionary_bytes: int = 65_536) -> dict[str, bytes]:
-    """A dictionary per language: the ends of a bounded number of clean texts, strung together."""
-    w = Window.partitionBy("lang").orderBy("h")
-    rows = (
-        documents.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(order).cast("string")).alias("h"))
-        .where("lang is not null and text is not null and length(text) > 80")
-        .withColumn("r", F.row_number().over(w))
-        .where(F.col("r") <= per_language)
-        .select("lang", F.expr("substring(text, 1, 2000)").alias("text"))
-    )
+def train(documents: DataFrame, lang: str = "lang", text: str = "text", order: str = "doc_id", per_language: int = 800, dictionary_bytes: int = 65_536, languages: int = 100) -> dict[str, bytes]:
+    """A dictionary per language: a bounded number of clean texts, chosen by hash and strung together in that order."""
+    clean = documents.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(order).cast("string")).alias("h")).where("lang is not null and text is not null and length(text) > 80")
+    frequent = {r["lang"] for r in clean.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    letters = F.length(F.regexp_replace("text", r"[^\p{L} ]+", "")) / F.length("text")
+    clean = clean.where(F.col("lang").isin(*frequent) & (F.octet_length("text") <= dictionary_bytes) & ~F.col("text").rlike(GARBLED.pattern) & (letters >= 0.9))
+    first = clean.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_language)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = first.withColumn("before", before).where(F.col("before") < 4 * dictionary_bytes).select("lang", "r", "text").collect()  # bounded: five times dictionary_bytes a language
     by: dict[str, list[str]] = {}
-    for r in rows.collect():  # bounded: per_language texts of 2000 characters for each language
-        if not GARBLED.search(r["text"]):
-            by.setdefault(r["lang"], []).append(r["text"])
-    return {k: "\n".join(sorted(v)).encode()[:dictionary_bytes] for k, v in sorted(by.items())[:40]}
-
-
-def find_garbled(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, restored, lost): texts with wrongly decoded characters, what they read after repair, how many places are lost."""
+    for r in sorted(rows, key=lambda r: (r["lang"], r["r"])):
+        by.setdefault(r["lang"], []).append(r["text"])
+    out = {}
+    for k, texts in by.items():
+        kept, size = [], 0
+        for t in _common_half(texts):
+            if size < dictionary_bytes:
+                kept.append(t)
+                size += len(t.encode())
+        out[k] = "\n".join(kept).encode()
+    return out
+
+
+BEYOND = re.compile(r"\w*[^\W\x00-\x7f]\w*")
+
+
+def _common_half(texts: list[str]) -> list[str]:
+    """Without the half of the texts with words beyond ASCII whose such words stand in the fewest texts; the order stays."""
+    words = [set(BEYOND.findall(t.lower())) for t in texts]
+    n = Counter(w for ws in words for w in ws)
+    score = {k: sum(math.log(n[w]) for w in ws) / len(ws) for k, ws in enumerate(words) if ws}
+    out = set(sorted(score, key=lambda k: (score[k], k))[: len(score) // 2])
+    return [t for k, t in enumerate(texts) if k not in out]
+
+
+def find_garbled(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "id", text_col: str = "text", owner: str | None = None) -> DataFrame:
+    """(id, restored, lost): texts with wrongly decoded characters, what they read after repair, how many places are lost;
+    ``owner`` names a column to hand on as (owner)."""
     shared = df.sparkSession.sparkContext.broadcast(dictionaries)
-    schema = pa.schema([("id", pa.string()), ("restored", pa.string()), ("lost", pa.int32())])
+    schema = pa.schema([("id", pa.string()), ("restored", pa.string()), ("lost", pa.int32()), ("owner", pa.string())])
 
     def run(batches):
         repairer = Repairer(shared.value)
         for batch in batches:
             out = {k: [] for k in schema.names}
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, t, o in zip(*[batch.column(c).to_pylist() for c in range(3)]):
                 new = repairer.repair(t)
                 lost = len(LOST.findall(new))
                 if new != t or lost:
-                    for k, v in zip(schema.names, (i, new, lost)):
+                    for k, v in zip(schema.names, (i, new, lost, o)):
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInArrow(run, "id string, restored string, lost int").dropDuplicates(["id"])
+    own = F.lit(None).cast("string") if owner is None else F.col(owner).cast("string")
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), own.alias("owner")).where("id is not null and text is not null").where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    found = rows.mapInArrow(run, "id string, restored string, lost int, owner string").dropDuplicates(["id"])
+    return found.drop("owner") if owner is None else found

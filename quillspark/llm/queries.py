@@ -52,10 +52,9 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
     chunks, assets = table(spark, d, "chunks"), table(spark, d, "assets")
     # texts are read from text, Markdown and PDF files; scanned pages and tag lists carry a source
-    found = encoding.find_garbled(chunks.where("source is null"), encoding.train(table(spark, d, "documents")))
-    images = assets.where(F.lower("extension").isin("png", "jpg", "jpeg", "tif", "tiff", "webp", "gif", "bmp")).select(F.col("id").alias("asset_id")).distinct()
-    owner = chunks.select("id", "asset_id").join(found.select("id"), "id", "left_semi").distinct()
-    return found.join(owner.join(images, "asset_id", "left_semi").select("id"), "id", "left_anti")
+    found = encoding.find_garbled(chunks.where("source is null"), encoding.train(table(spark, d, "documents")), owner="asset_id")
+    images = assets.where(F.lower("extension").isin("png", "jpg", "jpeg", "tif", "tiff", "webp", "gif", "bmp")).select(F.col("id").alias("owner")).distinct()
+    return found.join(images, "owner", "left_anti").drop("owner")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
