@@ -13,9 +13,11 @@ finite and not all are zero; others have no neighbours. Equal vectors are one cl
 afterwards, so that a class of any size costs each member ``k`` pairs; of equally similar vectors the smaller ids count.
 Repeated rows count once. Spaces are never compared. An empty table gives no pairs. Other columns are ignored.
 
-Scale: every vector is indexed; the broadcast model holds at most ``sample`` / 8 centroids per space whatever the
-input. Lists that stand for more than four times ``list_size`` vectors (which happens once the sample is the limit) are
-dealt out to blocks, with their queries sent to each block, so no task holds a whole hot list.
+Scale: every vector is indexed; the sample is at most ``sample`` vectors of all spaces together and the broadcast model at
+most an eighth of that in centroids, whatever the input. Once the sample is the limit, lists grow; a list of more than
+``INNER`` members is then split again where it is searched, by the same steps on its own members, and a query opens only
+its nearest inner lists, so that the work for a vector grows with the root of a list's length. Lists that stand for more than
+``HELD`` vectors are dealt out to blocks, with their queries sent to each block, so no task holds a whole hot list.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import computed_once
 
 SEED = 5
+INNER = 4096  # members beyond which a list is split where it is searched
+HELD = 1 << 16  # vectors a block of a list stands for
 
 
 def declared(df: DataFrame, id_col: str, vector: str, space: str, dims: str) -> DataFrame:
@@ -92,7 +96,7 @@ class Lists:
         share = standing_for / len(x)
         cells = _split(x, max(8.0, list_size / share), rng)
         self.centroids = _unit(np.stack([x[c].mean(axis=0) for c in cells])).astype(np.float32)
-        self.blocks = np.maximum(1, np.ceil(np.array([len(c) for c in cells]) * share / (4 * list_size))).astype(np.int32)
+        self.blocks = np.maximum(1, np.ceil(np.array([len(c) for c in cells]) * share / HELD)).astype(np.int32)
         n = len(cells)
         m = min(degree, n - 1)
         self.graph = np.zeros((n, max(m, 1)), np.int32)
@@ -132,13 +136,12 @@ class Lists:
 
 
 def fit(rows: DataFrame, vectors: DataFrame, sample: int, list_size: int) -> dict[str, Lists]:
-    """One set of lists per space, from about ``sample`` vectors of it, chosen by hash; fewer where there are more than eight spaces."""
+    """One set of lists per space, from about ``sample`` vectors of all, chosen by hash; each space has a share by the root of its size."""
     sizes = {r["space"]: r["n"] for r in rows.groupBy("space").agg(F.count("*").alias("n")).collect()}  # one row per space
     if not sizes:
         return {}
-    most = sample if len(sizes) <= 8 else max(1000, 8 * sample // len(sizes))
-    million = 1_000_000
-    shares = F.create_map(*[F.lit(x) for space, n in sorted(sizes.items()) for x in (space, int(min(1.0, most / n) * million) + 1)])
+    million, roots = 1_000_000, sum(n**0.5 for n in sizes.values())
+    shares = F.create_map(*[F.lit(x) for space, n in sorted(sizes.items()) for x in (space, int(min(1.0, sample * n**0.5 / roots / n) * million) + 1)])
     got = vectors.where(F.pmod(F.xxhash64("cls", F.lit(SEED)), F.lit(million)) < F.element_at(shares, F.col("space"))).select("space", "v").toArrow()
     names, v = np.array(got.column("space").to_pylist(), object), got.column("v").combine_chunks()
     model = {}
@@ -150,7 +153,24 @@ def fit(rows: DataFrame, vectors: DataFrame, sample: int, list_size: int) -> dic
     return model
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, space: str, dims: str, k: int = 5, least: float = 0.8, sample: int = 40_000, list_size: int = 256, replicas: int = 4, probes: int = 6, spread: float = 0.2, reach: float = 0.3) -> DataFrame:
+def inner_lists(x: np.ndarray, queries: np.ndarray, members: np.ndarray, opened: int = 8):
+    """(queries, members) to compare: all, or for a long list each inner list with the queries it is among the nearest of."""
+    if not len(members) or not len(queries):
+        return
+    if len(members) <= INNER:
+        yield queries, members
+        return
+    cells = _split(x[members], len(members) ** 0.5 * 8, np.random.default_rng(SEED))
+    centroids = _unit(np.stack([x[members[c]].mean(axis=0) for c in cells]))
+    want = min(opened, len(cells))
+    top = np.concatenate([np.argpartition(-(x[queries[k : k + 4096]] @ centroids.T), want - 1, axis=1)[:, :want] for k in range(0, len(queries), 4096)])
+    for j, c in enumerate(cells):
+        near = np.flatnonzero((top == j).any(axis=1))
+        if len(near):
+            yield queries[near], members[c]
+
+
+def nearest(df: DataFrame, id_col: str, vector: str, space: str, dims: str, k: int = 5, least: float = 0.8, sample: int = 80_000, list_size: int = 512, replicas: int = 6, probes: int = 6, spread: float = 0.3, reach: float = 0.3) -> DataFrame:
     """(id, other, similarity): for each usable vector the ``k`` most similar others with a similarity of ``least`` or more."""
     spark = df.sparkSession
     rows = declared(df, id_col, vector, space, dims)
@@ -197,19 +217,19 @@ def nearest(df: DataFrame, id_col: str, vector: str, space: str, dims: str, k: i
         x = np.frombuffer(b"".join(whole.column("v").to_pylist()), np.float16).reshape(len(cls), -1).astype(np.float32)
         members, queries = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         a, b, s = [], [], []
-        for at in range(0, len(queries), 1024) if len(members) else ():
-            q = queries[at : at + 1024]
-            sim = x[q] @ x[members].T
-            sim[cls[q][:, None] == cls[members][None, :]] = -2
-            if sim.shape[1] > k:
-                top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            else:
-                top = np.broadcast_to(np.arange(sim.shape[1]), sim.shape)
-            val = np.take_along_axis(sim, top, 1)
-            r, c = np.nonzero(val >= least - 0.005)
-            a.append(cls[q][r])
-            b.append(cls[members][top[r, c]])
-            s.append(val[r, c])
+        for q, m in inner_lists(x, queries, members):
+            for at in range(0, len(q), 1024):
+                own = q[at : at + 1024]
+                sim = x[own] @ x[m].T
+                sim[cls[own][:, None] == cls[m][None, :]] = -2
+                near = np.flatnonzero((sim >= least - 0.005).any(axis=1))
+                own, sim = own[near], sim[near]
+                top = np.argpartition(-sim, k - 1, axis=1)[:, :k] if sim.shape[1] > k else np.broadcast_to(np.arange(sim.shape[1]), sim.shape)
+                val = np.take_along_axis(sim, top, 1)
+                r, c = np.nonzero(val >= least - 0.005)
+                a.append(cls[own][r])
+                b.append(cls[m][top[r, c]])
+                s.append(val[r, c])
         cat = lambda z, t: np.concatenate(z) if z else np.zeros(0, t)
         return pa.table({"cls": cat(a, np.int64), "near": cat(b, np.int64), "s": cat(s, np.float32).astype(np.float64)})
 

@@ -204,6 +204,23 @@ def test_neighbours_recall_against_brute_force(spark):
     assert len(want) > 1000 and len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.98 * len(got)
 
 
+def test_long_lists_are_split_where_they_are_searched(monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(200, 16))
+    x = np.concatenate([c + rng.normal(scale=0.2, size=(30, 16)) for c in centres]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    every = np.arange(len(x))
+    monkeypatch.setattr(neighbours, "INNER", 1000)
+    best = (x @ x.T - 3 * np.eye(len(x))).argmax(axis=1)
+    seen, work = set(), 0
+    for q, m in neighbours.inner_lists(x, every, every):
+        inside = set(m.tolist())
+        seen.update(int(k) for k in q if int(best[k]) in inside)
+        work += len(q) * len(m)
+    assert len(seen) >= 0.97 * len(x) and work < 0.5 * len(x) ** 2
+    assert not list(neighbours.inner_lists(x, every[:0], every)) and len(list(neighbours.inner_lists(x, every[:9], every[:900]))) == 1
+
+
 def test_neighbours_of_copies_and_of_nothing(spark):
     df = spark.createDataFrame([(f"c{k:02}", [1.0, 2.0, 3.0], "s", 3) for k in range(12)] + [("z", [-1.0, 0.0, 0.0], "s", 3)], V)
     got = neighbours.nearest(df, "id", "e", "space", "d").collect()
