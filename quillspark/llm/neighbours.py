@@ -160,7 +160,7 @@ def inner_lists(x: np.ndarray, queries: np.ndarray, members: np.ndarray, opened:
     if len(members) <= INNER:
         yield queries, members
         return
-    cells = _split(x[members], len(members) ** 0.5 * 8, np.random.default_rng(SEED))
+    cells = _split(x[members], len(members) ** 0.5 * 4, np.random.default_rng(SEED))
     centroids = _unit(np.stack([x[members[c]].mean(axis=0) for c in cells]))
     want = min(opened, len(cells))
     top = np.concatenate([np.argpartition(-(x[queries[k : k + 4096]] @ centroids.T), want - 1, axis=1)[:, :want] for k in range(0, len(queries), 4096)])
