@@ -36,7 +36,7 @@ class Engine:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     def assets(self) -> DataFrame:
-        return library.latest(self.table("assets"), ["id"], [F.coalesce("indexed_at", "modified_at"), F.col("status")])
+        return library.latest_assets(self.table("assets"))
 
     def chunks(self) -> DataFrame:
         return self.table("chunks").dropDuplicates(["id"])

@@ -1,8 +1,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from ..operators import library
 
 
@@ -11,8 +9,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def assets(spark: SparkSession, d: str) -> DataFrame:
-    """The latest snapshot of each asset."""
-    return library.latest(table(spark, d, "assets"), ["id"], [F.coalesce("indexed_at", F.lit("1970-01-01").cast("timestamp")), F.col("status")])
+    return library.latest_assets(table(spark, d, "assets"))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

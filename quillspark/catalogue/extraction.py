@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def _re(name: str) -> str:
-    return PATTERNS[name].replace("«", r"\b").replace("»", r"\b").replace("'", "''")
+    return PATTERNS[name].replace("'", "''")
 
 
 def _all(name: str, group: int = 0, col: str = "text") -> str:

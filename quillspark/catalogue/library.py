@@ -302,16 +302,15 @@ def stream_error_counts(spark, d):
     """Keyed state of a stream over the events that are there, run to its end; equals the batch count."""
     import uuid
 
-    from ..streaming.retry import OUT, retry_states
+    from ..session import shared_dir
+    from ..streaming.retry import OUT, fold_stream, retry_states
 
-    del OUT
     schema = table(spark, d, "events").schema
-    name = f"errors_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/errors-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d if not _is_dir(spark, d) else f"{d}/events.parquet")
     # each failure counts; no success ever resets it here
-    q = retry_states(stream, "user_id", "event_type", "ts", "error", "", 1 << 30).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).groupBy("key").agg(F.max("failures").alias("errors"))
+    fold_stream(retry_states(stream, "user_id", "event_type", "ts", "error", "", 1 << 30), f"{at}/states", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{at}/states").groupBy("key").agg(F.max("failures").alias("errors"))
 
 
 def _is_dir(spark, d):

@@ -85,28 +85,28 @@ DOCUMENT_TYPES = (
     ("receipt", 0.74, ("receipt", "total", "subtotal", "payment", "thank you")),
 )
 
-# ---- patterns; «...» stands for a word boundary, see functions.patterns ----------------------------------------------
+# ---- patterns ----------------------------------------------
 CURRENCY_CODES = {"₹": "INR", "rs": "INR", "rs.": "INR", "inr": "INR", "rupees": "INR", "$": "USD", "usd": "USD", "dollars": "USD", "€": "EUR", "eur": "EUR", "euros": "EUR", "£": "GBP", "gbp": "GBP", "pounds": "GBP"}
 PATTERNS = {
-    "email": r"(?i)«[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}»",
-    "url": r"(?i)«(?:(?:https?://|www\.)[^\s]+|[a-z0-9-]+\.(?:com|org|net|io|in|co|gov|edu)(?:/[^\s]*)?)»",
+    "email": r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b",
+    "url": r"(?i)\b(?:(?:https?://|www\.)[^\s]+|[a-z0-9-]+\.(?:com|org|net|io|in|co|gov|edu)(?:/[^\s]*)?)\b",
     "phone": r"(?:\+\d{1,3}[\s-]?)?(?:\(?\d{2,4}\)?[\s-]?){2,4}\d{2,4}",
     "amount": r"(?i)(?:₹|\$|€|£|rs\.?|usd|inr|eur|gbp)\s?\d[\d,]*(?:\.\d+)?|\d[\d,]*(?:\.\d+)?\s?(?:rupees|dollars|euros|pounds|inr|usd|eur|gbp)",
-    "time": r"(?i)«(?:[01]?\d|2[0-3]):[0-5]\d(?:\s?[ap]\.?m\.?)?»",
-    "date_iso": r"«\d{4}-\d{2}-\d{2}»",
-    "date_number": r"«\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}»",
-    "date_text": r"(?i)«(?:\d{1,2}\s+)?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?(?:\s+\d{1,2})?,?\s+\d{2,4}»",
-    "identifier": r"(?i)«(?:[A-Z]{2,}[-_/]?\d{3,}[A-Z0-9-]*|#[A-Z0-9]{3,}|\d{5,})»",
+    "time": r"(?i)\b(?:[01]?\d|2[0-3]):[0-5]\d(?:\s?[ap]\.?m\.?)?\b",
+    "date_iso": r"\b\d{4}-\d{2}-\d{2}\b",
+    "date_number": r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b",
+    "date_text": r"(?i)\b(?:\d{1,2}\s+)?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?(?:\s+\d{1,2})?,?\s+\d{2,4}\b",
+    "identifier": r"(?i)\b(?:[A-Z]{2,}[-_/]?\d{3,}[A-Z0-9-]*|#[A-Z0-9]{3,}|\d{5,})\b",
     "hashtag": r"#[A-Za-z0-9_]{2,}",
     "mention": r"(?:^|\s)(@[A-Za-z0-9_]{2,})",
-    "location": r"(?i)«(?:to|from|at|in)\s+([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)?)",
-    "pnr": r"(?i)«(?:pnr\s*[:#-]?\s*)?([A-Z0-9]{10})»",
-    "train_number": r"(?i)«(?:train\s*(?:no|number)?\s*[:#-]?\s*)?(\d{5})»",
-    "flight_number": r"(?i)«([A-Z]{2}\s?\d{3,4})»",
-    "booking_id": r"(?i)«(?:booking|reservation|confirmation)\s*(?:id|no|number|ref)?\s*[:#-]?\s*([A-Z0-9-]{5,})»",
-    "invoice_id": r"(?i)«(?:invoice|bill)\s*(?:id|no|number)?\s*[:#-]?\s*([A-Z0-9-]{4,})»",
-    "route": r"(?i)«from\s+([A-Za-z][A-Za-z .'-]{1,40}?)\s+(?:to|[-–])\s+([A-Za-z][A-Za-z .'-]{1,40}?)(?:\s{2,}|\n|$)",
-    "query_identifier": r"(?i)«(?:[A-Z]{2,}[-_/ ]?\d{2,}[A-Z0-9-]*|\d{4,}|#[A-Z0-9]{3,})»",
+    "location": r"(?i)\b(?:to|from|at|in)\s+([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)?)",
+    "pnr": r"(?i)\b(?:pnr\s*[:#-]?\s*)?([A-Z0-9]{10})\b",
+    "train_number": r"(?i)\b(?:train\s*(?:no|number)?\s*[:#-]?\s*)?(\d{5})\b",
+    "flight_number": r"(?i)\b([A-Z]{2}\s?\d{3,4})\b",
+    "booking_id": r"(?i)\b(?:booking|reservation|confirmation)\s*(?:id|no|number|ref)?\s*[:#-]?\s*([A-Z0-9-]{5,})\b",
+    "invoice_id": r"(?i)\b(?:invoice|bill)\s*(?:id|no|number)?\s*[:#-]?\s*([A-Z0-9-]{4,})\b",
+    "route": r"(?i)\bfrom\s+([A-Za-z][A-Za-z .'-]{1,40}?)\s+(?:to|[-–])\s+([A-Za-z][A-Za-z .'-]{1,40}?)(?:\s{2,}|\n|$)",
+    "query_identifier": r"(?i)\b(?:[A-Z]{2,}[-_/ ]?\d{2,}[A-Z0-9-]*|\d{4,}|#[A-Z0-9]{3,})\b",
     "query_amount": r"(?i)(?:(?:₹|\$|€|£|rs\.?|usd|inr|eur|gbp)\s?\d|(?:\d[\d,]*\.?\d*)\s?(?:₹|\$|€|£|rupees|dollars|euros))",
 }
 ENTITY_CONFIDENCE = {"pnr": 0.95, "train_number": 0.72, "flight_number": 0.82, "booking_id": 0.84, "invoice_id": 0.88, "origin": 0.65, "destination": 0.65, "date": 0.65, "amount": 0.75}

@@ -1,7 +1,7 @@
 """Pattern extraction as columns.
 
-Patterns are written with « and » for word boundaries. ``unicode`` boundaries look at letters and digits of any
-script, ASCII boundaries only at [0-9A-Za-z_], as engines without Unicode tables do."""
+``unicode`` word boundaries look at letters and digits of any script, ASCII ones only at [0-9A-Za-z_], as engines
+without Unicode tables do."""
 
 from __future__ import annotations
 
@@ -13,9 +13,9 @@ from ..constants import PATTERNS
 
 def pattern(name: str, unicode: bool = True) -> str:
     if unicode:
-        return "(?U)" + PATTERNS[name].replace("«", r"\b").replace("»", r"\b")
+        return "(?U)" + PATTERNS[name]
     edge = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-    return PATTERNS[name].replace("«", edge).replace("»", edge)
+    return PATTERNS[name].replace(r"\b", edge)
 
 
 def all_matches(text: Column, name: str, group: int = 0, unicode: bool = True) -> Column:

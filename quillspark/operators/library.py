@@ -15,6 +15,11 @@ def latest(df: DataFrame, key: list[str], by: list[Column]) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, *[f"r.{c}" for c in rest]).select(*df.columns)
 
 
+def latest_assets(assets: DataFrame) -> DataFrame:
+    """The latest snapshot of each asset: by indexing time, never indexed ones first, then by status."""
+    return latest(assets, ["id"], [F.coalesce("indexed_at", F.lit("1970-01-01").cast("timestamp")), F.col("status")])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same key."""
     return old.join(new.select(*key), key, "left_anti").unionByName(new)
@@ -57,9 +62,10 @@ def folder_rollup(folders: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def first_of_content(df: DataFrame, score: str, key: str = "id", content: str = "content_id") -> DataFrame:
-    """The best row of each content; adds how many other places it has. An aggregate, so copies combine before the shuffle."""
+    """The best row of each content, the smaller key among equals, one without a score last; adds how many other places it has. An aggregate, so copies combine before the shuffle."""
     rest = [c for c in df.columns if c != content]
-    best = F.max_by(F.struct(*rest), F.struct(F.col(score), F.expr(f"translate({key}, '0123456789abcdefghijklmnopqrstuvwxyz', 'zyxwvutsrqponmlkjihgfedcba9876543210')")))
+    worst_last = F.when(F.col(score).isNull(), 1).otherwise(0)
+    best = F.min_by(F.struct(*rest), F.struct(worst_last.alias("n"), (-F.col(score)).alias("s"), F.col(key).alias("k")))
     return df.groupBy(content).agg(best.alias("r"), (F.count("*") - 1).alias("other_places")).select(content, *[f"r.{c}" for c in rest], "other_places")
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-import struct
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,12 +95,12 @@ def from_evidence_json(types: DataFrame) -> DataFrame:
 @F.pandas_udf(T.BinaryType())
 def encode_vector(v: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
-    return v.map(lambda x: None if x is None else struct.pack(f"<{len(x)}f", *x))
+    return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: None if x is None or len(x) % 4 else list(struct.unpack(f"<{len(x) // 4}f", x)))
+    return b.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4"))
 
 
 def decode_valid(df: DataFrame, blob: str, dims: int, out: str = "embedding") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,23 +14,68 @@ from ..functions.vectors import blend_best_two, dot, dot_unrolled, norm
 DIGITS = 6
 
 
+QUERY_BLOCK = 4096  # queries that are held by a task at once
+
+
 def cosine_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame) -> DataFrame:
-    """(query_id, key, score) of every vector for each query (query_id, q) of a batch, which is broadcast."""
-    # norms once for each vector, not for each pair
-    rows = vectors.select(key, F.col(vector).alias("v"), norm(F.col(vector)).alias("nv"))
-    asked = queries.select("query_id", "q", norm(F.col("q")).alias("nq"))
-    n = F.col("nv") * F.col("nq")
-    score = F.when((F.size("v") > 0) & (n > 0), dot(F.col("v"), F.col("q")) / n).otherwise(0.0)
-    return rows.crossJoin(F.broadcast(asked)).select("query_id", key, F.round(score, DIGITS).alias("score"))
+    """(query_id, key, score) of every vector for each query (query_id, q) of a batch; 0 for empty vectors and zero norms.
+
+    One matrix product for each batch of vectors and each block of queries (``_cosine_blocks``)."""
+    return _cosine_blocks(vectors, key, vector, queries, None)
 
 
 def top_by_cosine(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, key, score) of the k most similar vectors for each query (query_id, q).
+    """(query_id, key, score, rank) of the k most similar vectors for each query (query_id, q), the smaller key among equals.
 
-    Exact scan: every row meets every query of this batch, which is broadcast; the cut to k runs before the shuffle."""
-    scored = cosine_scores(vectors, key, vector, queries)
+    Exact scan; every task keeps its own k best for each query before the shuffle."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _cosine_blocks(vectors, key, vector, queries, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _cosine_blocks(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int | None) -> DataFrame:
+    """Queries are collected in blocks of QUERY_BLOCK rows, whatever their number; each block is one pass over the vectors."""
+    spark = vectors.sparkSession
+    kinds = dict(queries.dtypes)["query_id"], vectors.select(key).schema[0].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, key {kinds[1]}, score double"
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+
+    def scan(shared):
+        def run(batches):
+            ids, q = shared.value
+            nq = np.linalg.norm(q, axis=1)
+            for batch in batches:
+                v = batch.column(1)
+                sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+                scores = np.zeros((len(ids), len(sizes)))
+                fit = np.flatnonzero(sizes == q.shape[1])
+                if len(fit) and q.shape[1]:
+                    x = np.nan_to_num(v.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False), nan=0.0, posinf=0.0, neginf=0.0).reshape(len(fit), -1)
+                    n = nq[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                    scores[:, fit] = np.round(np.divide(q @ x.T, n, out=np.zeros(n.shape), where=n > 0), DIGITS)
+                if k is not None and len(sizes) > k:
+                    edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                    r, c = np.nonzero(scores >= edge[:, None])  # ties at the edge stay
+                else:
+                    r, c = np.indices(scores.shape).reshape(2, -1)
+                at = pa.array(c)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), batch.column(0).take(at), pa.array(scores[r, c])], ["query_id", "key", "score"])
+
+        return run
+
+    numbered = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
+    held = numbered.toArrow()  # a batch of queries; a larger one is several passes, each of a block of bounded size
+    out = None
+    sizes = pc.fill_null(pc.list_value_length(held.column("q")), 0).to_numpy()
+    for dims in np.unique(sizes):
+        own = np.flatnonzero(sizes == dims)
+        for a in range(0, len(own), QUERY_BLOCK):
+            part = held.take(pa.array(own[a : a + QUERY_BLOCK]))
+            q = part.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, int(dims))
+            block = rows.mapInArrow(scan(spark.sparkContext.broadcast((part.column("query_id").combine_chunks(), q))), schema)
+            out = block if out is None else out.unionByName(block)
+    if out is None:
+        out = rows.select(F.lit(None).cast(kinds[0]).alias("query_id"), "key", F.lit(0.0).alias("score")).where("false")
+    return out.withColumnRenamed("key", key)
 
 
 def unit(vectors: DataFrame, key: str, vector: str, dims: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -48,12 +96,33 @@ def roll_up(scores: DataFrame, parent: str, region: str, score: str) -> DataFram
     )
 
 
-def robust_z(df: DataFrame, score: str) -> DataFrame:
-    """Adds ``z``: distance from the median in scaled median deviations, floored so that near-constant scores stay quiet."""
-    med = df.agg(F.median(score).alias("med"))
-    with_med = df.crossJoin(F.broadcast(med))  # one row
-    mad = with_med.agg(F.median(F.abs(F.col(score) - F.col("med"))).alias("mad"))
-    return with_med.crossJoin(F.broadcast(mad)).withColumn("z", F.round((F.col(score) - F.col("med")) / F.greatest(F.col("mad") * MAD_SCALE, F.lit(MAD_FLOOR)), 4)).drop("med", "mad")
+def exact_median(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """(by.., out): the exact median of each group.
+
+    Values are counted first (which combines before the shuffle) and then in blocks of nearly equal magnitude; only the
+    one or two blocks that hold the middle are put in order, so no task holds a whole group."""
+    own, v = F.col(value), F.col("v")
+    rank = F.when(v == 0, 0).when(v > 0, F.floor(F.log2(v) * 256) + (1 << 22)).otherwise(-(F.floor(F.log2(-v) * 256) + (1 << 22)))
+    counts = df.where(own.isNotNull() & ~F.isnan(own)).groupBy(*by, own.alias("v")).agg(F.count("*").alias("c")).withColumn("b", rank.cast("long"))
+    blocks = counts.groupBy(*by, "b").agg(F.sum("c").alias("n"))
+    upto = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    placed = blocks.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    middle = placed.where((F.col("upto") >= low) & (F.col("upto") - F.col("n") < high)).select(*by, "b", "total", (F.col("upto") - F.col("n")).alias("before"))
+    inside = Window.partitionBy(*by, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.join(middle, [*by, "b"]).withColumn("at", F.col("before") + F.sum("c").over(inside))
+    hit = lambda k: F.min(F.when(F.col("at") >= k, F.col("v")))
+    return rows.groupBy(*by).agg(((hit(low) + hit(high)) / 2).alias(out))
+
+
+def robust_z(df: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
+    """Adds ``z``: distance from the group's median (of all without ``by``) in scaled median deviations, floored so that near-constant scores stay quiet."""
+    own = list(by or [])
+    keyed = df if own else df.withColumn("_all", F.lit(0))
+    keys = own or ["_all"]
+    with_med = keyed.join(exact_median(keyed, keys, score, "med"), keys, "left")
+    mad = exact_median(with_med.withColumn("_away", F.abs(F.col(score) - F.col("med"))), keys, "_away", "mad")
+    return with_med.join(mad, keys, "left").withColumn("z", F.round((F.col(score) - F.col("med")) / F.greatest(F.col("mad") * MAD_SCALE, F.lit(MAD_FLOOR)), 4)).drop("med", "mad", "_all")
 
 
 def prototypes(vectors: DataFrame, label: str, vector: str, dims: int) -> DataFrame:

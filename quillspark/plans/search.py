@@ -13,6 +13,19 @@ from ..functions.text import content_terms, query_key, snippet
 from ..operators.library import latest
 
 
+BATCH = 20_000  # rows of the query side that are sent to every task at once
+
+
+def against(rows: DataFrame, asked: DataFrame, condition) -> DataFrame:
+    """Rows with the queries (or terms) they match by a condition that no key expresses.
+
+    The query side is sent to every task, so its size is checked: a batch beyond ``BATCH`` rows is refused, not cut."""
+    n = asked.limit(BATCH + 1).count()
+    if n > BATCH:
+        raise ValueError(f"a batch of queries may have {BATCH} rows here; ask in several batches")
+    return rows.join(F.broadcast(asked), condition)
+
+
 def filename_channel(plans: DataFrame, assets: DataFrame) -> DataFrame:
     """Share of a query's terms in file name and path, 1.0 when the whole phrase occurs. Terms meet names as substrings."""
     hay = F.lower(F.concat_ws(" ", "filename", "relative_path"))
@@ -20,16 +33,16 @@ def filename_channel(plans: DataFrame, assets: DataFrame) -> DataFrame:
     q = plans.where(F.size("terms") > 0).select("query_id", "terms", F.array_join("terms", " ").alias("phrase"))
     found = F.size(F.filter("terms", lambda t: F.contains(F.col("hay"), t)))
     score = F.when(F.contains(F.col("hay"), F.col("phrase")), 1.0).otherwise(found / F.size("terms"))
-    return names.crossJoin(F.broadcast(q)).select("query_id", "asset_id", score.alias("score")).where("score > 0")
+    return against(names, q, score > 0).select("query_id", "asset_id", score.alias("score"))
 
 
 def metadata_channel(plans: DataFrame, metadata: DataFrame) -> DataFrame:
     """Number of a query's terms in an asset's identifiers, addresses, numbers and amounts."""
-    hay = F.lower(F.concat_ws(" ", F.concat("identifiers", "urls", "emails", "phone_numbers", F.transform("amounts", lambda a: a["raw"]))))
-    # assets without any such value cannot match and never meet a query
-    h = metadata.select("asset_id", hay.alias("hay")).where("hay <> ''").groupBy("asset_id").agg(F.array_join(F.collect_set("hay"), " ").alias("hay"))
-    q = plans.where(F.size("terms") > 0).select("query_id", "terms")
-    return h.crossJoin(F.broadcast(q)).select("query_id", "asset_id", F.size(F.filter("terms", lambda t: F.contains(F.col("hay"), t))).cast("double").alias("score")).where("score > 0")
+    values = F.concat("identifiers", "urls", "emails", "phone_numbers", F.transform("amounts", lambda a: a["raw"]))
+    # each distinct value meets the terms; an asset's values never come together, however many chunks it has
+    h = metadata.select("asset_id", F.explode(F.array_distinct(F.transform(values, lambda v: F.lower(v)))).alias("value")).distinct()
+    terms = plans.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    return against(h, terms, F.contains(F.col("value"), F.col("term"))).groupBy("query_id", "asset_id").agg(F.count_distinct("term").cast("double").alias("score"))
 
 
 def entity_channel(plans: DataFrame, entities: DataFrame) -> DataFrame:

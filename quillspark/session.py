@@ -37,3 +37,18 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, Path("quillspark") / p.relative_to(here))
     context.addPyFile(str(at))
     context._quillspark_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+
+    Only a session on one machine may go without it: it gets a temporary folder. On a cluster that is an error."""
+    import tempfile
+
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")

@@ -11,8 +11,15 @@ from ..constants import EXCLUDED_DIRECTORIES, EXTENSIONS, MAX_BYTES, MIME_TYPES
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """All files below ``root`` (path, modificationTime, length, content); symbolic links and unreadable files as Spark's reader treats them.
 
-    The reader passes over files without bytes, so these come as missing rather than as skipped."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    ``content`` is null for files that are not kept or too large: they are listed without being opened, as the reader takes
+    limits on ``length`` and reads bytes only where the column is asked for. The reader passes over files without bytes, so
+    these come as missing rather than as skipped."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    listed = reader.load(root).select("path", "modificationTime", "length")
+    small = F.col("length") <= MAX_BYTES
+    wanted = is_kept(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.lit(root)) & (extension(filename(F.col("path"))).isNull() | extension(filename(F.col("path"))).isin(*EXTENSIONS))
+    opened = reader.load(root).where(small & wanted)
+    return opened.select("path", "modificationTime", "length", "content").unionByName(listed.where(~(small & wanted)).withColumn("content", F.lit(None).cast("binary")))
 
 
 def parts(path: Column) -> Column:

@@ -24,6 +24,15 @@ def state_of(failures: int, successes: int, most: int) -> str:
     return "failed" if failures >= most else "pending" if failures else "indexed" if successes else "pending"
 
 
+def fold_stream(states: DataFrame, out: str, checkpoint: str):
+    """Runs over what is there; each micro-batch's states are written under its number, so a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def retry_states(events: DataFrame, key: str, kind: str, order: str, failure: str, success: str, most: int) -> DataFrame:
     """One row per key and micro-batch with its state so far."""
 
