@@ -172,3 +172,46 @@ def best_tags(tags: DataFrame, asset: str, k: int = 20) -> DataFrame:
     once = tags.groupBy(asset, "normalized_label").agg(best.alias("b")).select(asset, "normalized_label", F.col("b.confidence").alias("confidence"), F.col("b.col2.label").alias("label"))
     w = Window.partitionBy(asset).orderBy(F.desc("confidence"), "normalized_label")
     return once.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k)
+
+
+def visual_scores(regions: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, asset_id, score, best_region, z): region vectors (asset_id, region_id, embedding) against each query (query_id, q).
+
+    An asset's score is the blend of its two best regions; z is the score's place among all assets of the query."""
+    keyed = regions.select(F.struct("asset_id", "region_id").alias("at"), "embedding")
+    scores = cosine_scores(keyed, "at", "embedding", queries).select("query_id", "at.asset_id", "at.region_id", "score")
+    best = F.max(F.struct("score", "region_id"))
+    # the second best region is the best of the others, so that no list of regions is collected
+    w = Window.partitionBy("query_id", "asset_id").orderBy(F.desc("score"), F.desc("region_id"))
+    two = scores.withColumn("n", F.row_number().over(w)).where("n <= 2")
+    blend = two.groupBy("query_id", "asset_id").agg(best.alias("b"), F.min("score").alias("second"))
+    rolled = blend.select("query_id", "asset_id", F.round(0.8 * F.col("b.score") + 0.2 * F.col("second"), DIGITS).alias("score"), F.col("b.region_id").alias("best_region"))
+    return robust_z(rolled, "score", ["query_id"]).select("query_id", "asset_id", "score", "best_region", "z")
+
+
+def best_region_labels(scores: DataFrame, asset: str) -> DataFrame:
+    """(asset, label, score): the best of an asset's regions for each label."""
+    return scores.groupBy(asset, "label").agg(F.max("score").alias("score"))
+
+
+def label_scores_best_two(vectors: DataFrame, key: str, vector: str, bank: DataFrame, dims: int) -> DataFrame:
+    """(key, label, score): mean of a label's two best prompts (of one, where it has only one)."""
+    dots = _dots(vectors, key, vector, bank.select("label", F.col("p").alias("q")), dims)
+    w = Window.partitionBy(key, "label").orderBy(F.desc("score"))
+    return dots.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy(key, "label").agg(F.round(F.avg("score"), DIGITS).alias("score"))
+
+
+def _dots(vectors: DataFrame, key: str, vector: str, bank: DataFrame, dims: int) -> DataFrame:
+    """(key, label, score) of every prompt of a bank (label, q)."""
+    pairs = vectors.select(key, F.col(vector).alias("v")).crossJoin(F.broadcast(bank.select(F.col("label").alias("label"), F.col("q").alias("p"))))  # a fixed bank
+    return pairs.select(key, "label", dot_unrolled("v", "p", dims).alias("score"))
+
+
+def tagger_rules(raw: DataFrame, key: str, k: int = 20) -> DataFrame:
+    """(key, namespace, label, confidence, rank) from raw outputs (key, namespace, label, raw): probabilities at or above the
+    cut of their namespace, without ratings, the first ``k`` of each key."""
+    tags = raw.where("namespace <> 'rating'").select(key, "namespace", "label", F.round(tag_probability(F.col("raw")), DIGITS).alias("confidence"))
+    cut = mcut(tags.withColumn("_key", F.struct(key, "namespace")), "_key", "confidence").select(f"_key.{key}", "_key.namespace", "threshold")
+    kept = tags.join(cut, [key, "namespace"]).where(F.col("confidence") >= F.col("threshold"))
+    w = Window.partitionBy(key).orderBy(F.desc("confidence"), "label")
+    return kept.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k).drop("threshold")
