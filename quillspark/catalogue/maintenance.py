@@ -168,7 +168,7 @@ _COS = "round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
 
 @query(
     f"""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
-    s AS (SELECT query_id, vec_id // 4 AS asset_id, (-(1 + vec_id % 4))::INT AS region_id, {_COS.format(a='embedding', b='q')} AS score FROM embeddings, q),
+    s AS (SELECT query_id, vec_id // 4 AS asset_id, (-(1 + vec_id % 4))::INT AS region_id, greatest({_COS.format(a='embedding', b='q')}, 0) AS score FROM embeddings, q),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id, asset_id ORDER BY score DESC, region_id DESC) AS n FROM s),
     b AS (SELECT query_id, asset_id, round(0.8::DOUBLE * max(score) FILTER (n = 1) + 0.2::DOUBLE * coalesce(max(score) FILTER (n = 2), max(score) FILTER (n = 1)), 6) AS score, max(region_id) FILTER (n = 1) AS best_region FROM r GROUP BY 1, 2),
     m AS (SELECT query_id, median(score) AS med FROM b GROUP BY 1), k AS (SELECT query_id, median(abs(score - med)) AS mad FROM b JOIN m USING (query_id) GROUP BY 1)

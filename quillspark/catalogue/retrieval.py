@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import STOP_WORDS, WEIGHTS
 from ..functions.text import content_terms, snippet, tag_singular, visual_singular
-from ..operators import chunking, metadata, postings
+from ..operators import chunking, library, metadata, postings
 from ..plans import intent
 from ..plans import search as S
 from .common import ASSETS, CHUNKS, assets, chunks, table
@@ -297,14 +297,28 @@ def fused_results(spark, d):
     return S.results(S.strengths(ready), shown).select("query_id", "position", "asset_id", "combined_score")
 
 
+ASKED = (*TEXTS, "dinner notes pdf", "photo of a lighthouse", "train ticket")
+
+
+def _stored_vectors(spark, d, profile: str):
+    """A vector for each query of the batch: query k takes the k-th usable chunk's of the profile, in the order of ids."""
+    usable = chunks(spark, d).where((F.col("embedding_profile_id") == profile) & (F.size("embedding") == F.col("embedding_dimensions"))).where("not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+    first = usable.orderBy("id").limit(len(ASKED)).select("id", "embedding").collect()  # one row per query
+    return spark.createDataFrame([(k, [float(x) for x in r["embedding"]]) for k, r in enumerate(first)], "query_id long, q array<double>")
+
+
 @query()
 def hybrid_search(spark, d):
-    """The flagship: six channels (neither semantic nor visual, as no vectors are given) over the library for a batch of queries; its parts have SQL of their own."""
+    """The flagship: all eight channels over the library for a batch of queries; its parts have SQL of their own.
+
+    No model runs here, so the queries' vectors are stored ones; pictures' regions are the chunks of images."""
     from ..api import Engine
 
     e = Engine(spark, d)
-    asked = spark.createDataFrame(list(enumerate([*TEXTS, "dinner notes pdf", "photo of a lighthouse", "train ticket"])), "query_id long, query_text string")
-    return e.search(asked)
+    asked = spark.createDataFrame(list(enumerate(ASKED)), "query_id long, query_text string")
+    images = assets(spark, d).where(library.is_image(F.col("extension"))).select(F.col("id").alias("asset_id"))
+    regions = chunks(spark, d).where("embedding_profile_id = 'txt-base/v2' and size(embedding) = embedding_dimensions").join(images, "asset_id", "left_semi").select("asset_id", (-F.col("chunk_index") - 1).alias("region_id"), "embedding")
+    return e.search(asked, vectors=_stored_vectors(spark, d, "txt-base/v3"), regions=regions, prompts=_stored_vectors(spark, d, "txt-base/v2"))
 
 
 _IMPLIED = "CASE WHEN contains(q, 'pdf') THEN lower(extension) = 'pdf' WHEN contains(q, 'markdown') THEN lower(extension) = 'md' ELSE true END"

@@ -177,14 +177,15 @@ def best_tags(tags: DataFrame, asset: str, k: int = 20) -> DataFrame:
 def visual_scores(regions: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, asset_id, score, best_region, z): region vectors (asset_id, region_id, embedding) against each query (query_id, q).
 
-    An asset's score is the blend of its two best regions; z is the score's place among all assets of the query."""
+    A query may have several vectors, one for each prompt; a region's score is its best one, at least 0. An asset's score is
+    the blend of its two best regions; z is the score's place among all assets of the query."""
     keyed = regions.select(F.struct("asset_id", "region_id").alias("at"), "embedding")
-    scores = cosine_scores(keyed, "at", "embedding", queries).select("query_id", "at.asset_id", "at.region_id", "score")
-    best = F.max(F.struct("score", "region_id"))
-    # the second best region is the best of the others, so that no list of regions is collected
+    each = cosine_scores(keyed, "at", "embedding", queries).select("query_id", "at.asset_id", "at.region_id", "score")
+    scores = each.groupBy("query_id", "asset_id", "region_id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score"))
+    # the two best without collecting a list: the best, and the best of the rest
     w = Window.partitionBy("query_id", "asset_id").orderBy(F.desc("score"), F.desc("region_id"))
     two = scores.withColumn("n", F.row_number().over(w)).where("n <= 2")
-    blend = two.groupBy("query_id", "asset_id").agg(best.alias("b"), F.min("score").alias("second"))
+    blend = two.groupBy("query_id", "asset_id").agg(F.max(F.struct("score", "region_id")).alias("b"), F.min("score").alias("second"))
     rolled = blend.select("query_id", "asset_id", F.round(0.8 * F.col("b.score") + 0.2 * F.col("second"), DIGITS).alias("score"), F.col("b.region_id").alias("best_region"))
     return robust_z(rolled, "score", ["query_id"]).select("query_id", "asset_id", "score", "best_region", "z")
 
