@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.text import tokens
 from .operators import evaluate, library, metadata, postings, queue, similarity
 from .plans import intent, search
-from .session import shared_dir
+from .session import intermediate
 
 TAG_CONFIDENCE = 0.5  # of tags whose list carries none
 TOP_TAGS = 6
@@ -88,7 +87,7 @@ class Engine:
         """What searches read, made once for this engine and written to the shared folder: chunks (each once, with tokens), metadata,
         entities, document types and tags of the whole library. Filters of a search apply to these tables."""
         if self._derived is None:
-            at = f"{shared_dir(self.spark)}/derived-{uuid.uuid4().hex}"
+            at = intermediate(self.spark, "derived")
 
             def stored(name: str, df: DataFrame) -> DataFrame:
                 df.write.parquet(f"{at}/{name}")

@@ -300,13 +300,11 @@ def events_per_hour(spark, d):
 @query("SELECT user_id AS key, count(*) FILTER (event_type = 'error')::BIGINT AS errors FROM events GROUP BY 1")
 def stream_error_counts(spark, d):
     """Keyed state of a stream over the events that are there, run to its end; equals the batch count."""
-    import uuid
-
-    from ..session import shared_dir
+    from ..session import intermediate
     from ..streaming.retry import OUT, fold_stream, retry_states
 
     schema = table(spark, d, "events").schema
-    at = f"{shared_dir(spark)}/errors-{uuid.uuid4().hex}"
+    at = intermediate(spark, "errors")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d if not _is_dir(spark, d) else f"{d}/events.parquet")
     # each failure counts; no success ever resets it here
     fold_stream(retry_states(stream, "user_id", "event_type", "ts", "error", "", 1 << 30), f"{at}/states", f"{at}/checkpoint").awaitTermination()

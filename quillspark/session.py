@@ -52,3 +52,27 @@ def shared_dir(spark: SparkSession) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def intermediate(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table in the shared folder; it is deleted when the driver's program ends."""
+    import atexit
+    import uuid
+
+    if not _made:
+        atexit.register(_clear)
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, at))
+    return at
+
+
+def _clear() -> None:
+    for spark, at in _made:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended before; what is left lies in the folder named for it
+            return
