@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import intermediate
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests on one machine) a temporary folder is made and set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends in files that outlive any executor."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = intermediate(df.sparkSession, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def computed_once(df: DataFrame) -> DataFrame:
@@ -43,13 +31,3 @@ def computed_once(df: DataFrame) -> DataFrame:
 
 def partitions_of(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
-
-
-def usable_text(col: str = "text"):
-    return F.col(col).isNotNull() & (F.length(F.trim(F.col(col))) > 0)
-
-
-def to_batches(columns: dict[str, object], schema: pa.Schema, step: int = 20_000):
-    """Arrow batches of at most ``step`` rows from equally long columns."""
-    whole = pa.table(columns, schema=schema)
-    yield from whole.to_batches(max_chunksize=step)

@@ -14,6 +14,8 @@ no target, and of null source, are left out; a source without documents or with
 is reported as missing and the others keep their proportions; repeated document rows count once; empty tables give an
 empty mixture; other columns are ignored.
 
+A tilt that is not found within ``rounds`` is an error.
+
 Scale: one shuffle of (document, source, tokens), no text; blocks of a source are a bounded number of rows each, so a
 source that holds a third of all documents is rounded by many tasks. The driver holds one row per source.
 """
@@ -92,6 +94,8 @@ def solve(counted: DataFrame, targets: list[dict], total: float | None = None, r
                 else:
                     step = (low[k] + high[k]) / 2
             tilt[k] = step
+    if open_:
+        raise RuntimeError(f"no tilt found within {rounds} rounds for {sorted(open_)}")
     return tilt, total
 
 

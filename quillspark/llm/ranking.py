@@ -5,6 +5,7 @@ total is the sum of 1 / (k + rank) over the scores it has.
 
 Defined results
   * null, NaN and 0 are missing scores: the item is absent from that ranking and gets nothing from it
+  * infinite scores are the first (or last) of their ranking, equal among themselves
   * equal values share the mean of their ranks, so a score that is equal throughout a query changes nothing
   * repeated (query, item) rows count once, with the largest value of each score
   * rows without query or item are left out; an empty table gives an empty ranking
@@ -12,8 +13,9 @@ Defined results
   * other columns are ignored, whatever their names
 
 Scale: no window ever spans a whole query. Values are counted per (query, score, value) with map-side combine, then
-ordered inside blocks of nearly equal magnitude, and the blocks' counts (a bounded number per query) are summed up
-separately. A query that holds a third of all rows is thereby ranked by many tasks, and the final cut to the first n
+ordered inside blocks of nearly equal magnitude (scores that span a few hundredths still fall into a thousand blocks), and
+the blocks' counts (a bounded number per query) are summed up separately. A value that a hot query's rows share throughout
+meets its rank in a join whose skewed side is split at run time (adaptive skew join). A query that holds a third of all rows is thereby ranked by many tasks, and the final cut to the first n
 runs as a window group limit before its shuffle.
 """
 
@@ -25,12 +27,15 @@ from pyspark.sql import functions as F
 #: scores that count alike; visual_z_score only restates visual_score
 SCORES = ("semantic_score", "keyword_score", "combined_score", "visual_score", "category_score")
 #: blocks a factor of two of a score's magnitude is divided into
-BLOCKS_PER_OCTAVE = 256
+BLOCKS_PER_OCTAVE = 1 << 14
+
+
+LARGEST = 1.7976931348623157e308  # finite double
 
 
 def _block(v):
     """Blocks keep the order of their values: all values of a lower block are smaller."""
-    size = lambda x: F.floor(F.log2(x) * BLOCKS_PER_OCTAVE).cast("long") + F.lit(1 << 22)
+    size = lambda x: F.floor(F.log2(F.least(x, F.lit(LARGEST))) * BLOCKS_PER_OCTAVE).cast("long") + F.when(x > LARGEST, 1).otherwise(0) + F.lit(1 << 28)
     return F.when(v > 0, size(v)).otherwise(-size(-v))
 
 

@@ -114,6 +114,14 @@ def test_large_classes_of_copies_become_stars(spark):
     assert got == {("i000", f"i{k:03}") for k in range(1, 10)} | {(f"i{k:03}", "x") for k in range(10)}
 
 
+def test_infinite_and_extreme_scores_have_ranks(spark):
+    inf = float("inf")
+    rows = [("a", inf), ("b", inf), ("c", 1e308), ("d", 1e-308), ("e", -1e-308), ("f", -1e308), ("g", -inf)]
+    df = spark.createDataFrame([(1, i, v) for i, v in rows], "q long, i string, s double")
+    got = {r["i"]: r["rank"] for r in ranking.rank_scores(df, "q", "i", ("s",)).collect()}
+    assert got == {"a": 1.5, "b": 1.5, "c": 3, "d": 4, "e": 5, "f": 6, "g": 7}
+
+
 def shared_library(rng):
     """Chunks with copies and edited copies in files of known, equal and unknown digests."""
     texts = library(rng, 60)
