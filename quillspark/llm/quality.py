@@ -11,7 +11,7 @@ out once for each distinct word of the batch, everything else is sums over lines
     reasons it failed by (``kinds_of_blocks``) and from the share of its words in lines of fields or in lines of short items.
   * A document whose blocks of prose hold less than half of its words is of the kind that holds most of the others.
 
-No threshold of a rule was fitted to labels.
+No threshold of a rule was fitted to labels; the forms of lines and which reasons make junk were settled while looking at them.
 
 Defined results: null and blank texts have the figures of an empty text, the reason ``blank`` and no kind; texts of
 any length are read whole; each row is judged alone, so an empty table gives no rows and repeated rows repeat;

@@ -287,7 +287,7 @@ def test_figures_equal_brute_force(seed):
 
 
 def test_kinds_against_hand_labels(spark):
-    """No threshold was fitted to the labels, so all of them measure."""
+    """The rules' thresholds are published ones; the forms of lines were settled while looking at the labels."""
     d = "/root/testdata/sf0.01"
     judged = quality.judge(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", F.col("kind").alias("got"))
     rows = judged.join(spark.read.parquet(f"{d}/doc_labels.parquet"), "doc_id").collect()
