@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import library as L
@@ -202,13 +203,14 @@ def region_categories(spark, d):
 
 
 @query(
-    """WITH q AS (SELECT vec_id AS p_id, label, embedding AS p FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT e.vec_id, q.label, q.p_id, list_dot_product(e.embedding::DOUBLE[], q.p::DOUBLE[]) AS score FROM embeddings e, q),
+    """WITH q AS (SELECT vec_id AS p_id, label, embedding AS p FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3), s AS (SELECT e.vec_id, q.label, q.p_id, list_dot_product(e.embedding::DOUBLE[], q.p::DOUBLE[]) AS score FROM embeddings e, q),
     k AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY score DESC) AS n FROM s) SELECT vec_id, label, round(avg(score), 6) AS score FROM k WHERE n <= 2 GROUP BY 1, 2"""
 )
 def label_mean_of_two(spark, d):
-    """Labels by the mean of their two best prompts; every twentieth vector is a prompt of its label."""
+    """Labels by the mean of their two best prompts; the first three vectors of a label are its prompts."""
     e = table(spark, d, "embeddings")
-    bank = e.where("vec_id % 20 = 0").select("label", F.col("embedding").alias("p"))
+    w = Window.partitionBy("label").orderBy("vec_id")
+    bank = e.withColumn("n", F.row_number().over(w)).where("n <= 3").select("label", F.col("embedding").alias("p"))  # three for each label
     return V.label_scores_best_two(e, "vec_id", "embedding", bank, 64)
 
 
