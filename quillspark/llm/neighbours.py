@@ -1,20 +1,21 @@
 """The k most similar vectors of every vector, by balanced posting lists.
 
 Fit (driver, on a bounded sample): the sample of each space is split again and again by small k-means steps until
-every cell stands for at most ``list_size`` vectors; the cells' means are the centroids, and a graph joins each centroid
-to its nearest ones. Index (executors): every vector walks that graph, starting from the nearest of a few pivots, and
-is put into the lists of its nearest centroids: the nearest one, and, since a vector near a boundary belongs to both
-sides, all up to ``replicas`` whose distance is at most ``1 + spread`` times the least. Search: every vector is also
-a query; it opens the lists with a distance of at most ``1 + reach`` times the least, ``probes`` at most. Inside a
-list all similarities are computed at once. Pairs found are finally checked on the vectors themselves.
+every cell stands for at most ``list_size`` vectors; the cells' means are the centroids. Index (executors): every vector
+is compared with all centroids and put into the lists of its nearest ones: the nearest, and, since a vector near a
+boundary belongs to both sides, all up to ``replicas`` whose distance is at most ``1 + spread`` times the least. Search:
+every vector is also a query; it opens the lists with a distance of at most ``1 + reach`` times the least, ``probes`` at
+most. Inside a list all similarities are computed at once. Pairs found are finally checked on the vectors themselves.
+The nearest centroids are the true ones, by a matrix product: a walk along a graph of centroids misses more of them the
+more there are, and with them the pairs, and takes longer at the number of centroids there can be.
 
 Defined results: a vector is usable if its space is not null, its length equals the declared one, all its values are
 finite and not all are zero; others have no neighbours. Equal vectors are one class for the search and are expanded
 afterwards, so that a class of any size costs each member ``k`` pairs; of equally similar vectors the smaller ids count.
 Repeated rows count once. Spaces are never compared. An empty table gives no pairs. Other columns are ignored.
 
-Scale: every vector is indexed; the sample is at most ``sample`` vectors of all spaces together and the broadcast model at
-most an eighth of that in centroids, whatever the input. Once the sample is the limit, lists grow; a list of more than
+Scale: every vector is indexed; the sample is at most ``sample`` vectors of all spaces together and the broadcast model
+about a fifth of that in centroids at most, whatever the input. Once the sample is the limit, lists grow; a list of more than
 ``INNER`` members is then split again where it is searched, by the same steps on its own members, and a query opens only
 its nearest inner lists, so that the work for a vector grows with the root of a list's length. Lists that stand for more than
 ``HELD`` vectors are dealt out to blocks, with their queries sent to each block, so no task holds a whole hot list.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import computed_once
 
 SEED = 5
+GROUP = 32  # centroids of which only the best is looked at first
 INNER = 4096  # members beyond which a list is split where it is searched
 HELD = 1 << 16  # vectors a block of a list stands for
 
@@ -57,6 +59,11 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[k : k + 4096] @ c.T, axis=1) for k in range(0, len(x), 4096)])
 
 
+def _largest(s: np.ndarray, want: int) -> np.ndarray:
+    """Columns of the ``want`` largest values of each row, in no order."""
+    return np.argpartition(-s, want - 1, axis=1)[:, :want] if want < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+
+
 def _unit(c: np.ndarray) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
@@ -89,50 +96,30 @@ def _split(x: np.ndarray, most: float, rng: np.random.Generator, ways: int = 12)
 
 
 class Lists:
-    """Centroids of one space with their graph; how many blocks each list has."""
+    """Centroids of one space; how many blocks each list has."""
 
-    def __init__(self, x: np.ndarray, standing_for: float, list_size: int, degree: int = 12):
+    def __init__(self, x: np.ndarray, standing_for: float, list_size: int):
         rng = np.random.default_rng(SEED)
         share = standing_for / len(x)
         cells = _split(x, max(8.0, list_size / share), rng)
         self.centroids = _unit(np.stack([x[c].mean(axis=0) for c in cells])).astype(np.float32)
         self.blocks = np.maximum(1, np.ceil(np.array([len(c) for c in cells]) * share / HELD)).astype(np.int32)
-        n = len(cells)
-        m = min(degree, n - 1)
-        self.graph = np.zeros((n, max(m, 1)), np.int32)
-        if m:
-            for k in range(0, n, 1024):
-                sim = self.centroids[k : k + 1024] @ self.centroids.T
-                sim[np.arange(len(sim)), np.arange(k, k + len(sim))] = -2
-                self.graph[k : k + 1024] = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-        self.pivots = np.unique(rng.choice(n, min(n, max(16, 2 * int(np.sqrt(n)))), replace=False)).astype(np.int32)
-
-    def near(self, q: np.ndarray, want: int, beam: int = 4, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and similarities of about the ``want`` nearest centroids of each query, nearest first."""
-        keep = min(max(want, beam), len(self.centroids))
-        sim = q @ self.centroids[self.pivots].T
-        first = min(keep, sim.shape[1])
-        top = np.argpartition(-sim, first - 1, axis=1)[:, :first]
-        ids, s = self.pivots[top], np.take_along_axis(sim, top, 1)
+
+    def near(self, q: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and similarities of the ``want`` nearest centroids of each query, nearest first.
+
+        They lie in the ``want`` groups with the largest best similarities, a group being every ``step``-th centroid."""
+        n = len(self.centroids)
+        want, step = min(want, n), -(-n // GROUP)
+        sim = np.full((len(q), GROUP * step), -3, np.float32)
+        np.matmul(q, self.centroids.T, out=sim[:, :n])
+        groups = _largest(sim.reshape(len(q), GROUP, step).max(axis=1), want)
+        ids = (groups[:, :, None] + step * np.arange(GROUP)).reshape(len(q), -1)
+        s = np.take_along_axis(sim, ids, 1)
+        top = _largest(s, want)
+        ids, s = np.take_along_axis(ids, top, 1), np.take_along_axis(s, top, 1)
         order = np.argsort(-s, axis=1)
-        ids, s = np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
-        for _ in range(rounds):
-            more = self.graph[ids[:, :beam]].reshape(len(q), -1)
-            both = np.concatenate([ids, more], axis=1)
-            val = np.concatenate([s, np.einsum("bd,bnd->bn", q, self.centroids[more], optimize=True)], axis=1)
-            order = np.argsort(both, axis=1, kind="stable")
-            both, val = np.take_along_axis(both, order, 1), np.take_along_axis(val, order, 1)
-            val[:, 1:][both[:, 1:] == both[:, :-1]] = -3
-            size = min(keep, both.shape[1])
-            top = np.argpartition(-val, size - 1, axis=1)[:, :size]
-            new, ns = np.take_along_axis(both, top, 1), np.take_along_axis(val, top, 1)
-            order = np.argsort(-ns, axis=1)
-            new, ns = np.take_along_axis(new, order, 1), np.take_along_axis(ns, order, 1)
-            same = new.shape == ids.shape and (new[:, :beam] == ids[:, :beam]).all()
-            ids, s = new, ns
-            if same:
-                break
-        return ids[:, :want], s[:, :want]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
 
 
 def fit(rows: DataFrame, vectors: DataFrame, sample: int, list_size: int) -> dict[str, Lists]:
@@ -224,7 +211,7 @@ def nearest(df: DataFrame, id_col: str, vector: str, space: str, dims: str, k: i
                 sim[cls[own][:, None] == cls[m][None, :]] = -2
                 near = np.flatnonzero((sim >= least - 0.005).any(axis=1))
                 own, sim = own[near], sim[near]
-                top = np.argpartition(-sim, k - 1, axis=1)[:, :k] if sim.shape[1] > k else np.broadcast_to(np.arange(sim.shape[1]), sim.shape)
+                top = _largest(sim, k + 2)
                 val = np.take_along_axis(sim, top, 1)
                 r, c = np.nonzero(val >= least - 0.005)
                 a.append(cls[own][r])

@@ -212,6 +212,20 @@ def test_neighbours_recall_against_brute_force(spark):
     assert len(want) > 1000 and len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.98 * len(got)
 
 
+@pytest.mark.parametrize("count", (3, 40, 3000))
+def test_nearest_lists_are_the_nearest_however_many_there_are(count):
+    """Random directions: nothing leads from one centroid to the next."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(count * 8, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = neighbours.Lists(x, len(x), 8)
+    every = x @ lists.centroids.T
+    ids, sim = lists.near(x, 6)
+    want = min(6, len(lists.centroids))
+    assert ids.shape == sim.shape == (len(x), want)
+    assert np.allclose(sim, -np.sort(-every, axis=1)[:, :want], atol=1e-5) and np.allclose(np.take_along_axis(every, ids, 1), sim, atol=1e-5)
+
+
 def test_long_lists_are_split_where_they_are_searched(monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(200, 16))
