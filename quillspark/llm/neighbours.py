@@ -157,7 +157,7 @@ def inner_lists(x: np.ndarray, queries: np.ndarray, members: np.ndarray, opened:
             yield queries[near], members[c]
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, space: str, dims: str, k: int = 5, least: float = 0.8, sample: int = 80_000, list_size: int = 512, replicas: int = 6, probes: int = 6, spread: float = 0.3, reach: float = 0.3) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector: str, space: str, dims: str, k: int = 5, least: float = 0.8, sample: int = 80_000, list_size: int = 512, replicas: int = 8, probes: int = 8, spread: float = 0.3, reach: float = 0.3) -> DataFrame:
     """(id, other, similarity): for each usable vector the ``k`` most similar others with a similarity of ``least`` or more."""
     spark = df.sparkSession
     rows = declared(df, id_col, vector, space, dims)
@@ -220,10 +220,11 @@ def nearest(df: DataFrame, id_col: str, vector: str, space: str, dims: str, k: i
         cat = lambda z, t: np.concatenate(z) if z else np.zeros(0, t)
         return pa.table({"cls": cat(a, np.int64), "near": cat(b, np.int64), "s": cat(s, np.float32).astype(np.float64)})
 
+    # one row for each class; as a struct, it is the same exchange for the lists and for both sides of the exact check
+    one = vectors.groupBy("cls").agg(F.first(F.struct("space", "v")).alias("o"))
     found = (
-        vectors.select("space", "cls", "v")
+        one.select("o.space", "cls", "o.v")
         .mapInArrow(assign, "space string, list int, block int, cls long, role tinyint, v binary")
-        .dropDuplicates(["space", "list", "block", "cls"])
         .groupBy("space", "list", "block")
         .applyInArrow(search, "cls long, near long, s double")
         .groupBy("cls", "near")
@@ -232,15 +233,14 @@ def nearest(df: DataFrame, id_col: str, vector: str, space: str, dims: str, k: i
     # rounding of the lists' vectors may swap neighbours that are all but equally similar: two more are kept for the exact check
     w = Window.partitionBy("cls").orderBy(F.desc("s"), "near")
     found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 2).select("cls", "near")
-    return _exact(vectors, found, k, least)
+    return _exact(vectors, one, found, k, least)
 
 
-def _exact(vectors: DataFrame, found: DataFrame, k: int, least: float) -> DataFrame:
-    one = vectors.groupBy("cls").agg(F.first("v").alias("v"))
+def _exact(vectors: DataFrame, one: DataFrame, found: DataFrame, k: int, least: float) -> DataFrame:
     dot = F.aggregate(F.zip_with("va", "vb", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     exact = (
-        found.join(one.select("cls", F.col("v").alias("va")), "cls")
-        .join(one.select(F.col("cls").alias("near"), F.col("v").alias("vb")), "near")
+        found.join(one.select("cls", F.col("o.v").alias("va")), "cls")
+        .join(one.select(F.col("cls").alias("near"), F.col("o.v").alias("vb")), "near")
         .select("cls", "near", F.round(dot, 6).alias("similarity"))
         .where(F.col("similarity") >= least)
     )
